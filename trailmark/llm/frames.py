@@ -65,7 +65,7 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str
     bits = max(0, (max(rows, 1) // per_cell)).bit_length()
     cell = F.shiftrightunsigned(F.col(order), 64 - bits) if bits else F.lit(0).cast("bigint")
     # the leading bits of a signed number: flipped, they sort as the number does
-    cell = (cell ^ F.lit(1 << (bits - 1))) if bits else cell
+    cell = cell.bitwiseXOR(F.lit(1 << (bits - 1)).cast("bigint")) if bits else cell
     tiebreak = [F.col(order), *(F.col(c) for c in sorted(df.columns) if c != order)]
     # nulls are a key of their own, and the join below stays a plain one
     own = [f"_key{i}" for i in range(len(keys))]

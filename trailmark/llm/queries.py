@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, sharding, toxicity
+from . import linecrf, media, mixing, packing, quality, sharding, toxicity
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(docs, media=False).withColumn("feature", F.lower(F.hex("low_hash"))).drop("low_hash")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_columns, op4_quality_classifier, op5_packing, op7_mixing, op9_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_quality_classifier, op5_packing, op7_mixing, op9_sharding)
 }
 
 ORACLES: dict[str, str] = {}
