@@ -277,7 +277,7 @@ def _block_links(block: list[tuple], similarity: float) -> pa.RecordBatch:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (its text), class_id, class_size, n_links of every row of docs (doc_id, text)."""
+    """doc_id, node (its text), root (of its class), class_id, class_size, n_links of every row of docs (doc_id, text)."""
     named = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     frequencies, n = document_frequencies(docs)
     idf = inverse(frequencies, n)
@@ -301,9 +301,22 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = written(roots.join(degree, "node", "left"), "roots")
     rows = named.select("doc_id", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(sizes, "root").select("doc_id", "node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(sizes, "root").select("doc_id", "node", "root", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (its least id), class_size, n_links (to different texts), kept (the class's first) of every row."""
-    return classes(docs, similarity).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("node")
+    return classes(docs, similarity).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("node", "root")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs (doc_id, text, other columns) of each class: the one with its least id, and of these its least text hash."""
+    rows = written(classes(docs, similarity).select("doc_id", "node", "root"), "classes")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_node"))
+    same = rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    first = first.join(same, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_node") == F.col("node")), "left").select("_id", "_node", F.coalesce("_rows", F.lit(1)).alias("_rows"))
+    met = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(first, F.col("_text") == F.col("_node"))
+    met = met.filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    # rows that are equal in id and text stay one too
+    single = met.filter("_rows = 1").select(docs.columns)
+    return single.unionByName(met.filter("_rows > 1").dropDuplicates(["_node"]).select(docs.columns))

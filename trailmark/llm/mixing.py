@@ -59,19 +59,20 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def fair_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
+def fair_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17, also: Sequence[Column] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, times and taken (times * size) of every row of docs.
 
-    docs: doc_id, source and either text or size.
+    docs: doc_id, source and either text or size. also: more columns of docs to return.
     """
     size = F.col("size").cast("bigint") if "size" in docs.columns else n_words(F.col("text"))
-    rows = written(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    rows = written(docs.select("doc_id", "source", size.alias("size"), *also), "mix-sizes")
+    more = rows.columns[3:]
     plan = targets(rows, weights, share, repeats)
     # the sources' plan is a row a source; Spark decides by its size whether to send it everywhere
     n = plan.agg(F.sum("source_size"), F.sum("target")).first()
     budget = float(n[1] or 0.0)
     count = rows.count()
-    shuffled = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    shuffled = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size", *more))
     queued = running(shuffled, ["source"], "_order", F.col("size"), "_sent", count)
     joined = queued.alias("q").join(plan.drop("weight").alias("p"), F.col("q.source").eqNullSafe(F.col("p.source"))).select("q.*", "p.source_size", "p.target")
     ends = F.array(*[F.col("_sent") + F.col("size") + F.col("source_size") * i for i in range(repeats)])
@@ -84,7 +85,7 @@ def fair_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     else:
         times = F.size(F.filter("_finish", lambda t: t <= end))
     times = F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0).cast("int")
-    return timed.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("bigint").alias("taken"))
+    return timed.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("bigint").alias("taken"), *more)
 
 
 def _end_of_mix(events: DataFrame, budget: float) -> float | None:

@@ -236,9 +236,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, featu
     return fit(got[1], got[0], **options)
 
 
-def score(docs: DataFrame, model: Model, features: Features, threshold: float) -> DataFrame:
-    """Every row of docs (text, other columns) with score and predicted."""
-    kept = [c for c in docs.columns if c != "text"]
+def score(docs: DataFrame, model: Model, features: Features, threshold: float, keep_text: bool = False) -> DataFrame:
+    """Every row of docs (text, other columns) with score and predicted in place of text, or besides it."""
+    docs = docs.drop("score", "predicted")
+    kept = [c for c in docs.columns if keep_text or c != "text"]
     schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
     spot = np.flatnonzero(model.weights)
     packed = (spot, model.weights[spot], model.bias, model.prior)
@@ -253,4 +254,4 @@ def score(docs: DataFrame, model: Model, features: Features, threshold: float) -
             columns = [batch.column(c) for c in kept]
             yield pa.record_batch([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return docs.select(*kept, "text").mapInArrow(rows, schema)
+    return (docs if keep_text else docs.select(*kept, "text")).mapInArrow(rows, schema)

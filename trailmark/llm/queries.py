@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linecrf, media, minhash, mixing, packing, quality, sharding, suffixdedup, toxicity
+from . import linecrf, lm, media, minhash, mixing, packing, quality, sharding, suffixdedup, toxicity
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.batches(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.fair_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +58,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_quality_classifier, op5_packing, op7_mixing, op8_suffix_array_dedup, op9_sharding, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_quality_classifier, op5_packing, op6_lm_scoring, op7_mixing, op8_suffix_array_dedup, op9_sharding, op10_minhash_near_dedup)
 }
 
 ORACLES: dict[str, str] = {}
