@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = None
+from .plans import oracles, queries
+
+QUERIES = queries.QUERIES
+ORACLES = oracles.ORACLES
+FLAGSHIP = queries.seen_savings
