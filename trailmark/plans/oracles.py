@@ -266,6 +266,7 @@ ORACLES = {
         u AS (SELECT *, sum(tok) OVER (PARTITION BY session ORDER BY rank) AS used FROM r WHERE rank >= 2)
         SELECT session, alias, f AS chunk_from, CAST(score AS BIGINT) AS score, rank, CAST(used AS BIGINT) AS used FROM u WHERE used <= 800""",
     "inv138_folded_reads": FOLDED + " SELECT session, ord, folded_lines, CAST(total_lines AS BIGINT) AS total_lines, original_tokens, kept_tokens, md5(out) AS digest FROM folds",
+    "inv162_shadow_replay": FOLDED + " SELECT session, ord, folded_lines, original_tokens, kept_tokens, md5(out) AS digest FROM folds",
     "inv144_policies": f"WITH {READINGS} SELECT choice AS raw, safe, composite, guarded, count(*) AS n FROM decided GROUP BY ALL",
     "inv146_hybrid_policies": PLACED + f""", keyed AS (
           SELECT *, CAST(substr(call_id, 2) AS BIGINT) AS event_id, CASE WHEN tool = 'read' THEN 'file:' || path WHEN regexp_matches(command, '^(?:npm|pnpm|yarn|npx|bun)\\s') THEN 'bash:' || array_to_string(string_split(command, ' ')[1:2], ' ') ELSE 'bash:' || command END AS key FROM tool_events

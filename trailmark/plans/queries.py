@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import logs, shell
+from ..functions import logs, research, shell
 from ..functions import text as X
 from ..operators import analytics, dedupe, events, metrics, policy, recall, sieve
 from ..sources import synth
+from ..streaming import replay
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -312,6 +313,29 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("session", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def exact_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-17, 104, 154 to 161: replay with feedback."""
+    return replay.replay(synth.sessions(spark, sf_dir)).drop("text")
+
+
+def shadow_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-162: the same decisions without feedback, so those of the relational plan."""
+    done = replay.replay(synth.sessions(spark, sf_dir), act=False)
+    return done.select("session", "ord", F.col("folded_lines").cast("bigint").alias("folded_lines"), "original_tokens", "kept_tokens", F.md5("text").alias("digest"))
+
+
+def log_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-94, 95, 96, 97, 53, 131: how outputs are cut by each rule."""
+    bash = _results(spark, sf_dir).filter("tool = 'bash'")
+    return bash.select("session", "ord", F.size(logs.blocks_of("text")).alias("blocks"), F.size(logs.chunks_of("text")).alias("chunks"), F.size(research.sieve_blocks_of("text", "tool")).alias("research_blocks"), F.size(research.units_of("text", "tool")["units"]).alias("units"))
+
+
+def trimmed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-100, 150, 151: what plain rules keep of long outputs."""
+    bash = _results(spark, sf_dir).filter("tool = 'bash'").select("session", "ord", research.trimmed_of("text", "tool").alias("t"))
+    return bash.select("session", "ord", "t.*")
+
+
 QUERIES = {
     "inv20_text_measures": text_measures, "inv25_call_summaries": call_summaries, "inv27_outcome_lines": outcome_lines, "inv28_line_priorities": line_priorities,
     "inv31_hidden_references": hidden_references, "inv35_document_words": document_words, "inv37_request_terms": request_terms, "inv41_command_kinds": command_kinds,
@@ -322,4 +346,5 @@ QUERIES = {
     "inv111_confusion": confusion_matrix, "inv112_metric_summary": metric_summary, "inv113_majority_votes": majority_votes, "inv114_percentiles": percentiles, "inv115_floor_quantiles": floor_quantiles,
     "inv119_threshold_sweep": threshold_sweep, "inv120_regret_cuts": regret_cuts, "inv123_telemetry": telemetry, "inv126_notable_lines": notable_lines, "inv127_recall_reads": recall_reads,
     "inv138_folded_reads": folded_reads, "inv140_sieve_plan": sieve_plan, "inv142_recall_documents": recall_documents, "inv144_policies": policies, "inv146_hybrid_policies": hybrid_policies, "inv77_facts_used": facts_used,
+    "inv17_exact_replay": exact_replay, "inv162_shadow_replay": shadow_replay, "inv95_log_chunks": log_chunks, "inv100_trimmed_outputs": trimmed_outputs,
 }

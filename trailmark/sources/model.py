@@ -4,15 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-PART = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("thinking", T.StringType()),
-    T.StructField("id", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("arguments", T.StringType()),
-])
-
 #: One line of a session file. Content and arguments stay JSON text: both are open.
 ENTRY = T.StructType([
     T.StructField("type", T.StringType()),
