@@ -6,8 +6,8 @@ frequency of its words, counted over all documents in 65,536 hashed buckets: a
 table of fixed size. Ioffe's sampling gives two texts equal samples with the
 probability of their weighted Jaccard similarity. ``ROWS`` samples make a band
 and texts that agree in any of ``BANDS`` bands meet: 0.41 of the bands on
-average at similarity 0.8, so 0.2 % of the pairs just at the threshold meet in
-none, and 1 in 100,000 at 0.9.
+average at similarity 0.8, so 3 in 100,000 pairs just at the threshold meet in
+none, and at 0.9 one in 10 ** 9.
 
 What meets is verified by its exact weighted Jaccard similarity:
 
@@ -40,7 +40,7 @@ from .frames import written
 from .textcore import BYTE_KEY, U64, Slice, mix, prefix_hash, signed, slices, span_hash
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 20, 4
 #: Hash buckets of word frequencies, by bits.
 IDF_BITS = 16
 #: Texts of a salt or block: what a task holds of one group at once.
@@ -165,7 +165,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def band_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """band, node: twelve rows for each text of docs (node, text)."""
+    """band, node: a row a band for each text of docs (node, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
