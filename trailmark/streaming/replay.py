@@ -139,8 +139,9 @@ class Session:
 
 
 def _frame(session: str, found: list[dict[str, Any]]) -> pd.DataFrame:
-    frame = pd.DataFrame([{k: v for k, v in f.items() if k != "entry"} | {"session": session} for f in found], columns=_COLUMNS)
-    return frame.astype({"ord": "int64", "folded_lines": "Int32", "original_tokens": "Int64", "kept_tokens": "Int64"})
+    # plain objects: None is null in every column, and Arrow makes one array of each
+    rows = [[f.get(c) if c != "session" else session for c in _COLUMNS] for f in found]
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(_COLUMNS)})
 
 
 def replay(messages: DataFrame, cfg: Freshness = DEFAULT, act: bool = True) -> DataFrame:
