@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 from .frames import written
 from .textcore import BYTE_KEY, U64, Slice, mix, powers, prefix_hash, signed, slices
 
-LENGTH, GRAM, HOT = 400, 128, 20_000
+LENGTH, GRAM, HOT = 400, 128, 5000
 #: Multikey quicksort compares so many bytes, eight at a time; smaller parts are sorted by insertion.
 SHALLOW, SMALL = 64, 12
 #: Rows of one anchor block in a task.
-BLOCK = 16_384
+BLOCK = 4096
+_SECOND_KEY = mix(BYTE_KEY) | U64(1)
 _PLACE = 24  # bits of a position; longer texts are read in overlapping parts
 
 
@@ -341,8 +342,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     texts = long.groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "k1", "k2", "pos", "hot", "left", "right"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+        names = ["h", "k1", "k2", "pos", "left", "right"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             column, lists = batch.column("text"), batch.column("spots")
@@ -350,22 +351,25 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
             for i in range(batch.num_rows):
                 text = column[i].as_py().encode()
                 for spot in lists[i].as_py():
+                    if spot["hot"]:
+                        continue
                     pos = spot["pos"]
-                    out.append((spot["h"], k1[i], k2[i], pos, spot["hot"], text[max(0, pos - length + gram) : pos][::-1], text[pos : pos + length]))
+                    out.append((spot["h"], k1[i], k2[i], pos, text[max(0, pos - length + gram) : pos][::-1], text[pos : pos + length]))
                 if len(out) >= 4096:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
                     out = []
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    near = texts.join(spots, ["k1", "k2"]).mapInArrow(contexts, "h bigint, k1 bigint, k2 bigint, pos int, hot boolean, left binary, right binary")
+    met = texts.join(spots, ["k1", "k2"])
+    near = met.mapInArrow(contexts, "h bigint, k1 bigint, k2 bigint, pos int, left binary, right binary")
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BLOCK):
             yield _covered(block, length, gram)
 
-    covered = near.filter("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(sort_blocks, "k1 bigint, k2 bigint, lo int, hi int")
-    covered = covered.unionByName(_by_hash(near.filter("hot"), length, gram))
+    covered = near.repartition("h").sortWithinPartitions("h").mapInArrow(sort_blocks, "k1 bigint, k2 bigint, lo int, hi int")
+    covered = covered.unionByName(_by_hash(met, length, gram))
     spans = covered.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("covered"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,25 +414,35 @@ def _settled(text: bytes, copies: int, covered: list[dict] | None, kept_text: bo
     return [{"from": a, "to": b} for a, b in merged], len(text) - len(kept), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if kept_text else None
 
 
-def _by_hash(near: DataFrame, length: int, gram: int) -> DataFrame:
-    """k1, k2, lo, hi of the repeated windows around frequent anchors, each window by itself."""
+def _by_hash(met: DataFrame, length: int, gram: int) -> DataFrame:
+    """k1, k2, lo, hi of the repeated windows around frequent anchors, each window by itself.
+
+    met: k1, k2, text, spots. A window that holds several such anchors counts once.
+    """
+    names = ["w1", "w2", "k1", "k2", "lo"]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            column, lists = batch.column("text"), batch.column("spots")
+            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
             for i in range(batch.num_rows):
-                left, right = batch.column("left")[i].as_py()[::-1], batch.column("right")[i].as_py()
-                data = np.frombuffer(left + right, np.uint8)
-                n = len(data) - length + 1
-                if n <= 0:
+                at = np.array([s["pos"] for s in lists[i].as_py() if s["hot"]], np.int64)
+                if not len(at):
                     continue
+                data = np.frombuffer(column[i].as_py().encode(), np.uint8)
+                n = len(data) - length + 1
+                edge = np.zeros(len(data) + 1, np.int64)
+                np.add.at(edge, np.maximum(at + gram - length, 0), 1)
+                np.add.at(edge, at + 1, -1)
+                lo = np.flatnonzero(np.cumsum(edge)[:n] > 0)
                 both = []
-                for table in (BYTE_KEY, mix(BYTE_KEY)):
-                    prefix = prefix_hash(table[data])
-                    both.append(signed(mix((prefix[length:] - prefix[:-length]) * powers(len(prefix))[1][:n])))
-                lo = (batch.column("pos")[i].as_py() - len(left) + np.arange(n)).astype(np.int32)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), *(pa.array(np.full(n, batch.column(k)[i].as_py())) for k in ("k1", "k2")), pa.array(lo)], ["w1", "w2", "k1", "k2", "lo"])
+                for keys_ in (BYTE_KEY, _SECOND_KEY):
+                    prefix = prefix_hash(keys_[data])
+                    both.append(signed(mix((prefix[lo + length] - prefix[lo]) * powers(len(prefix))[1][lo])))
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(len(lo), k1[i])), pa.array(np.full(len(lo), k2[i])), pa.array(lo.astype(np.int32))], names)
 
-    found = near.mapInArrow(windows, "w1 bigint, w2 bigint, k1 bigint, k2 bigint, lo int")
+    some = met.filter(F.exists("spots", lambda s: s["hot"]))
+    found = some.mapInArrow(windows, "w1 bigint, w2 bigint, k1 bigint, k2 bigint, lo int")
     place = F.xxhash64("k1", "k2", "lo")
     several = found.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("w1", "w2")
     return found.join(several, ["w1", "w2"]).select("k1", "k2", "lo", (F.col("lo") + length).cast("int").alias("hi"))
