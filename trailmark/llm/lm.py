@@ -43,7 +43,9 @@ HEADS, GROUPS, CONTEXT, WIDTH = 111, 48, 4, 16
 #: Classes: heads, groups, end. One more number stands for what precedes a text.
 END = HEADS + GROUPS
 CLASSES = END + 1
-NOISE, BATCH, RATE = 64, 4096, 0.01
+NOISE, BATCH, RATE = 64, 4096, 0.02
+#: The first steps take so many tokens, every so many steps twice as many, up to BATCH.
+FIRST_BATCH, DOUBLING = 256, 64
 #: Most words whose counts go to every task; averaging goes through so many rows.
 TABLE, SLOTS = 1 << 17, 32
 
@@ -210,6 +212,9 @@ class Trainer:
         self.second = [np.zeros_like(x) for x in network.parts()]
         self.step, self.tokens = 0, 0
 
+    def batch(self) -> int:
+        return min(BATCH, FIRST_BATCH << min(self.step // DOUBLING, 16))
+
     def learn(self, target: np.ndarray, context: np.ndarray) -> None:
         net, n = self.net, len(target)
         noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
@@ -254,9 +259,11 @@ def train(texts: DataFrame, words: Vocabulary) -> Network:
                 h, g, owner = tokens(piece)
                 target, context = sequence(piece, words, words.find(h), h, g, owner)
                 order = trainer.rng.permutation(len(target))  # neighbours in a batch tell little
-                for lo in range(0, len(order), BATCH):
-                    part = order[lo : lo + BATCH]
+                lo = 0
+                while lo < len(order):
+                    part = order[lo : lo + trainer.batch()]
                     trainer.learn(target[part], context[part])
+                    lo += len(part)
         if trainer.tokens:
             slot = int(trainer.net.b.view(np.uint32).sum() % SLOTS)
             yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([trainer.tokens]), pa.array([trainer.net.pack()], pa.binary())], ["slot", "tokens", "network"])

@@ -45,12 +45,15 @@ class Sample:
         return Sample(at, self.ids[pick])
 
     def varied(self) -> Sample:
-        """One text of those that share their two least feature hashes: copies say a thing once."""
+        """One text of those that share their two least feature hashes: copies say a thing once.
+
+        Where over half would go, texts are alike by nature (a small vocabulary, say), and all stay.
+        """
         seen: dict[bytes, int] = {}
         for i in range(len(self)):
             own = mix(self.ids[self.at[i] : self.at[i + 1]].astype(np.uint64))
             seen.setdefault(np.sort(np.partition(own, 1)[:2] if len(own) > 2 else own).tobytes(), i)
-        return self.take(np.fromiter(seen.values(), np.int64, len(seen)))
+        return self.take(np.fromiter(seen.values(), np.int64, len(seen))) if 2 * len(seen) >= len(self) else self
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.at))
