@@ -338,6 +338,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     # anchors at two places at least: partial sums first, then a join that Spark splits where one is frequent
     place = F.xxhash64("k1", "k2", "pos")
     several = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("h", (F.col("n") > hot).alias("hot"))
+    several = written(several, "suffix-several")  # apart from its grouping, so that the join below can split a frequent anchor
     spots = found.join(several, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("spots"))
     texts = long.groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
