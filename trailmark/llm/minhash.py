@@ -299,8 +299,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     found = written(roots.join(degree, "node", "left"), "roots")
-    rows = named.select("doc_id", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    rows = written(named.select("doc_id", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    # written apart, so that the join below can split a large class
+    sizes = written(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
     return rows.join(sizes, "root").select("doc_id", "node", "root", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
