@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,17 +52,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, rows: int, per_cell: int = 20_000) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, rows: int, per_cell: int | None = None) -> DataFrame:
     """df with name: the sum of value over the rows before this one, by keys, in the order of a hash.
 
     order names a column of 64-bit hash values; ties are ordered by all other
     columns. A key's rows are cut into cells by the leading bits of the hash,
-    about per_cell rows each at most, so a key with any share of the rows is
-    spread over many tasks. The cells' sums are added up per key; a window
+    about per_cell rows each at most (the square root of all rows, 256 at least,
+    so that neither a cell nor a key's list of cells grows as the rows do), and
+    a key with any share of the rows is spread over many tasks. The cells' sums are added up per key; a window
     inside the cell gives the rest. rows: the number of rows, for the cells.
     """
     from pyspark.sql import Window as W
 
+    per_cell = per_cell or max(256, math.isqrt(max(rows, 1)))
     bits = max(0, (max(rows, 1) // per_cell)).bit_length()
     cell = F.shiftrightunsigned(F.col(order), 64 - bits) if bits else F.lit(0).cast("bigint")
     # the leading bits of a signed number: flipped, they sort as the number does
