@@ -172,3 +172,13 @@ def test_running_sums_are_those_of_the_whole_order(spark, per_cell):
     got = {r["i"]: r["s"] for r in frames.running(frame, ["k"], "o", F.col("v"), "s", 300, per_cell).collect()}
     for k, o, v, i in rows:
         assert got[i] == sum(w for k2, o2, w, _ in rows if k2 == k and o2 < o)
+
+
+def test_tables_in_between_can_be_forgotten(spark):
+    from pathlib import Path
+
+    kept = frames.written(spark.range(3), "some")
+    folder = Path(frames.own_folder(spark))
+    assert kept.count() == 3 and list(folder.iterdir())
+    frames.forget(spark)
+    assert not folder.exists()

@@ -40,18 +40,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/trailmark-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage ends there.
 
     What a later stage reads does not change when an executor is lost, and it
-    is computed once however often it is read.
+    is computed once however often it is read. The tables of an application
+    stay until ``forget``, for results are lazy and may still need them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this application has written in between; call it when no result is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, rows: int, per_cell: int | None = None) -> DataFrame:
     """df with name: the sum of value over the rows before this one, by keys, in the order of a hash.
 

@@ -228,10 +228,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, featu
     any, stay hidden. Both are the rows with the least hash of doc_id.
     """
     by_hash = [F.xxhash64(F.lit(label), "doc_id"), F.col("doc_id")]
-    known = labels.filter(F.col("doc_id").isNotNull() & (F.col(label) == 1) & learn).select("doc_id").distinct()
-    trusted = known.orderBy(*by_hash).limit(positives).select(F.lit(1).alias("kind"), "doc_id")
-    hidden = docs.filter(F.col("doc_id").isNotNull() & learn).select("doc_id").distinct()
-    hidden = hidden.orderBy(*(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.col("doc_id"))).limit(unlabelled).select(F.lit(0).alias("kind"), "doc_id")
+    known = labels.filter(F.col("doc_id").isNotNull() & (F.col(label) == 1) & learn).select("doc_id")
+    # the least few of each partition: no shuffle of ids; repeated ids take places but count once
+    trusted = known.orderBy(*by_hash).limit(positives).distinct().select(F.lit(1).alias("kind"), "doc_id")
+    hidden = docs.filter(F.col("doc_id").isNotNull() & learn).select("doc_id")
+    hidden = hidden.orderBy(*(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.col("doc_id"))).limit(unlabelled).distinct().select(F.lit(0).alias("kind"), "doc_id")
     # at most positives + unlabelled ids: small whatever the corpus
     chosen = F.broadcast(trusted.unionByName(hidden))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["kind", "doc_id"])
