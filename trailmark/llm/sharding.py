@@ -92,9 +92,9 @@ def pack(sizes: list[int], bins: int) -> list[int]:
         return []
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     down = [sizes[i] for i in order]
-    low, high = max(1, sum(down) // bins // 2), sum(down)
+    low, high = 1, sum(down)
     best = best_fit(down, high, bins)
-    step = max(1, low // 10_000)
+    step = max(1, high // bins // 20_000)
     while high - low > step or best is None:
         middle = (low + high) // 2
         found = best_fit(down, middle, bins)
