@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .frames import written
 from .textcore import BYTE_KEY, U64, Slice, mix, powers, prefix_hash, signed, slices
 
-LENGTH, GRAM, HOT = 400, 128, 5000
+LENGTH, GRAM, HOT = 400, 128, 1000
 #: Multikey quicksort compares so many bytes, eight at a time; smaller parts are sorted by insertion.
 SHALLOW, SMALL = 64, 12
 #: Rows of one anchor block in a task.
@@ -64,35 +64,46 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in data (ascending) and hashes of the anchors of all windows inside the texts."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def minimizers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of length bytes in data its anchor's position, and the hashes of all runs of gram bytes."""
     if len(data) < length:
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     prefix = prefix_hash(BYTE_KEY[data])
     m = len(data) - gram + 1
     hashes = mix((prefix[gram:] - prefix[:-gram]) * powers(len(prefix))[1][:m])
     low = U64((1 << _PLACE) - 1)
     least = window_minima((hashes & ~low) | np.arange(m, dtype=np.uint64), length - gram + 1)
+    return (least & low).astype(np.int64), hashes
+
+
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in data (ascending) and hashes of the anchors of all windows inside the texts."""
+    least, hashes = minimizers(data, length, gram)
+    if not len(least):
+        return least, hashes
     edge = np.zeros(len(least) + 1, np.int64)
     long = ends - starts >= length
     np.add.at(edge, starts[long], 1)
     np.add.at(edge, ends[long] - length + 1, -1)
-    at = (least[np.cumsum(edge[:-1]) > 0] & low).astype(np.int64)
+    at = least[np.cumsum(edge[:-1]) > 0]
     at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     return at, hashes[at]
 
 
-def _parts(piece: Slice, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The slice whole, or one long text in parts that share length - 1 bytes: offset, data, starts, ends."""
+def _overlapping(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A long text in parts that share length - 1 bytes: every window lies in one."""
     most = 1 << (_PLACE - 1)
-    if len(piece.data) <= most:
+    for lo in range(0, max(len(data), 1), most):
+        yield lo, data[lo : lo + most + length - 1]
+
+
+def _parts(piece: Slice, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The slice whole, or one long text in parts: offset, data, starts, ends."""
+    if len(piece.data) <= 1 << (_PLACE - 1):
         yield 0, piece.data, piece.starts, piece.ends
         return
-    n = len(piece.data)  # a slice this long holds one text, and perhaps empty ones
-    for lo in range(0, n, most):
-        hi = min(n, lo + most + length - 1)
-        yield lo, piece.data[lo:hi], np.array([0]), np.array([hi - lo])
+    for lo, part in _overlapping(piece.data, length):  # a slice this long holds one text, and perhaps empty ones
+        yield lo, part, np.array([0]), np.array([len(part)])
 
 
 def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -416,9 +427,10 @@ def _settled(text: bytes, copies: int, covered: list[dict] | None, kept_text: bo
 
 
 def _by_hash(met: DataFrame, length: int, gram: int) -> DataFrame:
-    """k1, k2, lo, hi of the repeated windows around frequent anchors, each window by itself.
+    """k1, k2, lo, hi of the repeated windows whose anchors are frequent, each window by itself.
 
-    met: k1, k2, text, spots. A window that holds several such anchors counts once.
+    met: k1, k2, text, spots. Equal windows have equal anchors, so a window is
+    looked at with its own anchor only.
     """
     names = ["w1", "w2", "k1", "k2", "lo"]
 
@@ -431,11 +443,9 @@ def _by_hash(met: DataFrame, length: int, gram: int) -> DataFrame:
                 if not len(at):
                     continue
                 data = np.frombuffer(column[i].as_py().encode(), np.uint8)
-                n = len(data) - length + 1
-                edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, np.maximum(at + gram - length, 0), 1)
-                np.add.at(edge, at + 1, -1)
-                lo = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+                hot = np.zeros(len(data), bool)
+                hot[at] = True
+                lo = np.concatenate([offset + np.flatnonzero(hot[offset + minimizers(part, length, gram)[0]]) for offset, part in _overlapping(data, length)])
                 both = []
                 for keys_ in (BYTE_KEY, _SECOND_KEY):
                     prefix = prefix_hash(keys_[data])
