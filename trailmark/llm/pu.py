@@ -198,8 +198,17 @@ def fit(positive: Sample, unlabelled: Sample, *, threshold: float = 0.5, least_z
     return Model(weights.astype(np.float32), float(bias), prior)
 
 
-def collect(docs: DataFrame, features: Features) -> dict[int, Sample]:
-    """The feature rows of docs (kind, text), by kind, on the driver. docs must be bounded."""
+def _sample(packed: list[bytes]) -> Sample:
+    ids = [np.frombuffer(x, np.uint32).astype(np.int64) for x in sorted(packed)]
+    return Sample(np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int64), np.concatenate([*ids, np.zeros(0, np.int64)]))
+
+
+def fitted(docs: DataFrame, features: Features, **options: float) -> Model:
+    """The model of docs (kind: 1 positive, 0 unlabelled; text), which must be bounded.
+
+    Features are made where the texts are; one task gathers them and trains, and
+    the driver gets the weights.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,15 +219,22 @@ def collect(docs: DataFrame, features: Features) -> dict[int, Sample]:
                 packed = [ids[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
                 yield pa.record_batch([kind.slice(piece.lo, len(piece)), pa.array(packed, pa.binary())], ["kind", "ids"])
 
-    got = docs.select("kind", "text").mapInArrow(rows, "kind int, ids binary").toArrow()
-    out = {}
-    kinds = got.column("kind").to_numpy()
-    packed = got.column("ids").to_pylist()
-    for kind in (0, 1):
-        own = sorted(packed[i] for i in np.flatnonzero(kinds == kind))
-        ids = [np.frombuffer(x, np.uint32).astype(np.int64) for x in own]
-        out[kind] = Sample(np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int64), np.concatenate([*ids, np.zeros(0, np.int64)]))
-    return out
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: dict[int, list[bytes]] = {0: [], 1: []}
+        for batch in batches:
+            for kind, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                packed[kind].append(ids)
+        model = fit(_sample(packed.pop(1)), _sample(packed.pop(0)), **options)
+        spot = np.flatnonzero(model.weights)
+        yield pa.record_batch([pa.array([spot.astype(np.uint32).tobytes()], pa.binary()), pa.array([model.weights[spot].tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.prior])], ["spot", "weights", "bias", "prior"])
+
+    made = docs.select("kind", "text").mapInArrow(rows, "kind int, ids binary")
+    got = made.repartition(1).mapInArrow(learn, "spot binary, weights binary, bias double, prior double").collect()
+    weights = np.zeros(1 << BITS, np.float32)
+    if not got:
+        return Model(weights, 0.0, 0.5)
+    weights[np.frombuffer(got[0]["spot"], np.uint32)] = np.frombuffer(got[0]["weights"], np.float32)
+    return Model(weights, got[0]["bias"], got[0]["prior"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, features: Features, *, positives: int, unlabelled: int, **options: float) -> Model:
@@ -236,8 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, featu
     # at most positives + unlabelled ids: small whatever the corpus
     chosen = F.broadcast(trusted.unionByName(hidden))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["kind", "doc_id"])
-    got = collect(texts, features)
-    return fit(got[1], got[0], **options)
+    return fitted(texts, features, **options)
 
 
 def score(docs: DataFrame, model: Model, features: Features, threshold: float, keep_text: bool = False) -> DataFrame:
