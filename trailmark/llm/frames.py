@@ -63,6 +63,23 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that goes to a Python worker. Texts are kilobytes, and a batch is held four times over on its way.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session batches for Python workers have at most BATCH_ROWS rows from now on.
+
+    The setting holds when a plan runs, which is after an operator returns, so
+    it stays; a smaller one of the caller's is kept.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, rows: int, per_cell: int | None = None) -> DataFrame:
     """df with name: the sum of value over the rows before this one, by keys, in the order of a hash.
 

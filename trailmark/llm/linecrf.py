@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
 from .textcore import BYTE_KEY, SEPARATOR, U64, Slice, mix, prefix_hash, slices, span_hash
 
 #: Bound of the training sample, in texts of each label; a training chain is cut after so many lines.
@@ -275,7 +276,7 @@ def marked(docs: DataFrame, model: Chain, content_share: float = CONTENT_SHARE)
                         np.bincount(lines.owner, minlength=n), np.bincount(lines.owner[content], minlength=n), share, ~failed & (share >= content_share),
                     ))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(rows, schema)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold, written
+from .frames import fold, small_batches, written
 from .textcore import BYTE_KEY_LOWER, U64, Slice, mix, prefix_hash, signed, slices, span_hash
 
 FOLDS, HELD_OUT = 5, 1
@@ -289,7 +289,7 @@ def train(texts: DataFrame, words: Vocabulary) -> Network:
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
-    training = docs.filter(~out).select("text")
+    training = small_batches(docs).filter(~out).select("text")
     table = written(counts(training), "lm-words")
     words = vocabulary(table, training.count())
     network = train(training, words)

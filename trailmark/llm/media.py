@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .frames import small_batches
+
 #: A picture's width, and so the unit that payloads are padded to.
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -192,4 +194,4 @@ def stored(df: DataFrame, column: str = "text", width: int = WIDTH, media: bool
                 columns = [batch.column(c).slice(lo, 500) for c in kept] + [pa.array(v, t) for v, t in zip(made, arrow, strict=False)]
                 yield pa.record_batch(columns, [*kept, *(n for n, _ in names)])
 
-    return df.select(*kept, column).mapInArrow(rows, schema)
+    return small_batches(df).select(*kept, column).mapInArrow(rows, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import written
+from .frames import small_batches, written
 from .textcore import BYTE_KEY, U64, Slice, mix, prefix_hash, signed, slices, span_hash
 
 WORDS, SIMILARITY = 5, 0.8
@@ -278,7 +278,7 @@ def _block_links(block: list[tuple], similarity: float) -> pa.RecordBatch:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, node (its text), root (of its class), class_id, class_size, n_links of every row of docs (doc_id, text)."""
-    named = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    named = small_batches(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     frequencies, n = document_frequencies(docs)
     idf = inverse(frequencies, n)
     bands = written(band_rows(named, idf), "bands")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
 from .textcore import U64, Slice, mix, slices
 
 #: Feature numbers are hashed to so many bits.
@@ -228,7 +229,7 @@ def fitted(docs: DataFrame, features: Features, **options: float) -> Model:
         spot = np.flatnonzero(model.weights)
         yield pa.record_batch([pa.array([spot.astype(np.uint32).tobytes()], pa.binary()), pa.array([model.weights[spot].tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.prior])], ["spot", "weights", "bias", "prior"])
 
-    made = docs.select("kind", "text").mapInArrow(rows, "kind int, ids binary")
+    made = small_batches(docs).select("kind", "text").mapInArrow(rows, "kind int, ids binary")
     got = made.repartition(1).mapInArrow(learn, "spot binary, weights binary, bias double, prior double").collect()
     weights = np.zeros(1 << BITS, np.float32)
     if not got:
@@ -257,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, featu
 
 def score(docs: DataFrame, model: Model, features: Features, threshold: float, keep_text: bool = False) -> DataFrame:
     """Every row of docs (text, other columns) with score and predicted in place of text, or besides it."""
-    docs = docs.drop("score", "predicted")
+    docs = small_batches(docs).drop("score", "predicted")
     kept = [c for c in docs.columns if keep_text or c != "text"]
     schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
     spot = np.flatnonzero(model.weights)

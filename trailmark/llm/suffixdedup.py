@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import small_batches, written
 from .textcore import BYTE_KEY, U64, Slice, mix, powers, prefix_hash, signed, slices
 
 LENGTH, GRAM, HOT = 400, 128, 1000
@@ -341,7 +341,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     character. Columns of docs with the name of a result are replaced.
     """
     raw = F.coalesce("text", F.lit(""))
-    docs = docs.drop("n_bytes", "spans", "n_removed", "n_spans", "kept_sha256", "_k1", "_k2", "_whole", "_kept")
+    docs = small_batches(docs).drop("n_bytes", "spans", "n_removed", "n_spans", "kept_sha256", "_k1", "_k2", "_whole", "_kept")
     keyed = docs.withColumns({"_k1": keys(F.col("text"))[0], "_k2": keys(F.col("text"))[1], "n_bytes": F.octet_length(raw).cast("bigint")})
     long = keyed.filter(F.col("n_bytes") >= length).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
     found = written(anchor_rows(long, length, gram), "suffix-anchors")
