@@ -101,3 +101,11 @@ def test_long_texts_are_read_in_parts(make_docs, monkeypatch):
         found |= set((sd.anchors(part, starts, ends, 40, 16)[0] + offset).tolist())
     for s in range(2000 - 39):
         assert any(s <= a <= s + 24 for a in found)
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_periodic_texts(make_docs, hot):
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    texts = [word(20) + "spam eggs" * rng.randint(1, 30) + word(20) + ("spam eggs" * 9 if i % 3 else "") for i in range(12)] + ["spam eggs" * 12, word(60), "xy" * 60 + word(9) + "xy" * 30]
+    assert result(sd.removed(make_docs(texts), length=40, gram=16, hot=hot)) == brute(texts, 40)

@@ -17,7 +17,8 @@ Only bytes are compared there, so a collision of hashes removes nothing.
 
 Equal texts are read once, and are wholly repeated by themselves. An anchor
 with more than ``hot`` occurrences is not brought together: its windows are
-counted by 128-bit hashes, which partial sums reduce before they move.
+counted by 128-bit hashes, which partial sums reduce before they move; what
+repeats inside one text is found there.
 
 Null text counts as empty. Rows with null or equal ids are separate rows, equal
 rows too. Texts shorter than ``length`` stay whole. An empty table gives an
@@ -430,9 +431,10 @@ def _by_hash(met: DataFrame, length: int, gram: int) -> DataFrame:
     """k1, k2, lo, hi of the repeated windows whose anchors are frequent, each window by itself.
 
     met: k1, k2, text, spots. Equal windows have equal anchors, so a window is
-    looked at with its own anchor only.
+    looked at with its own anchor only. What repeats inside one text is known
+    there: it leaves the text as spans, and one row of each window for others to
+    meet. Only windows that are single in their text need an answer.
     """
-    names = ["w1", "w2", "k1", "k2", "lo"]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,10 +452,31 @@ def _by_hash(met: DataFrame, length: int, gram: int) -> DataFrame:
                 for keys_ in (BYTE_KEY, _SECOND_KEY):
                     prefix = prefix_hash(keys_[data])
                     both.append(signed(mix((prefix[lo + length] - prefix[lo]) * powers(len(prefix))[1][lo])))
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(len(lo), k1[i])), pa.array(np.full(len(lo), k2[i])), pa.array(lo.astype(np.int32))], names)
+                _, first, inverse, count = np.unique(both[0], return_index=True, return_inverse=True, return_counts=True)
+                again = np.append(count[inverse] > 1, False)
+                steps = np.flatnonzero(np.diff(lo) > 1)
+                again_at = np.zeros(len(lo) + len(steps) + 1, bool)  # a gap between windows ends a run of them
+                place = np.arange(len(lo)) + np.searchsorted(steps, np.arange(len(lo)), "left")
+                again_at[place] = again[:-1]
+                edge = np.diff(again_at.astype(np.int8), prepend=0)
+                start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+                at_place = np.zeros(len(again_at), np.int64)
+                at_place[place] = lo
+                known = [at_place[start], at_place[stop] + length]
+                rows = len(first) + len(start)
+                none = pa.nulls(len(start), pa.int64())
+                yield pa.record_batch(
+                    [
+                        pa.concat_arrays([pa.array(both[0][first]), none]), pa.concat_arrays([pa.array(both[1][first]), none]), pa.array(np.full(rows, k1[i])), pa.array(np.full(rows, k2[i])),
+                        pa.array(np.concatenate([lo[first], known[0]]).astype(np.int32)), pa.array(np.concatenate([lo[first] + length, known[1]]).astype(np.int32)),
+                        pa.array(np.concatenate([count == 1, np.zeros(len(start), bool)])),
+                    ],
+                    ["w1", "w2", "k1", "k2", "lo", "hi", "single"],
+                )
 
     some = met.filter(F.exists("spots", lambda s: s["hot"]))
-    found = some.mapInArrow(windows, "w1 bigint, w2 bigint, k1 bigint, k2 bigint, lo int")
+    found = some.mapInArrow(windows, "w1 bigint, w2 bigint, k1 bigint, k2 bigint, lo int, hi int, single boolean")
     place = F.xxhash64("k1", "k2", "lo")
-    several = found.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("w1", "w2")
-    return found.join(several, ["w1", "w2"]).select("k1", "k2", "lo", (F.col("lo") + length).cast("int").alias("hi"))
+    several = found.filter("w1 is not null").groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("w1", "w2")
+    columns = ["k1", "k2", "lo", "hi"]
+    return found.filter("single").join(several, ["w1", "w2"]).select(columns).unionByName(found.filter("w1 is null").select(columns))
