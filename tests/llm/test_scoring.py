@@ -221,6 +221,32 @@ def test_lm_probabilities_sum_to_one(make_docs):
     assert all(np.array_equal(a, b) for a, b in zip(lm.Network.unpack(flat).parts(), net.parts()))
 
 
+def test_lm_context_tells_words_of_one_group_apart(make_docs):
+    # all words beyond the heads end alike, so they are in one group; the word before tells which half follows
+    rng = random.Random(8)
+    words = [f"{i}qz" for i in range(400)]
+    texts = [" ".join(rng.choice(words[:200] if i % 2 else words[200:]) for _ in range(60)) for i in range(3000)]
+    swapped = [" ".join(rng.choice(words[(i + k) % 2 * 200 :][:200]) for k in range(60)) for i in range(600)]
+    rows = lm.lm_scores(make_docs(texts + swapped, ids=[*range(3000), *range(10_000, 10_600)])).collect()
+    mean = lambda found: np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in found])
+    held = [r for r in rows if r["held_out"]]
+    assert mean(r for r in held if r["doc_id"] < 3000) > mean(r for r in held if r["doc_id"] >= 10_000) + 0.05
+
+
+def test_lm_words_of_the_table_sum_to_one():
+    rng = np.random.default_rng(4)
+    group = np.sort(rng.integers(0, lm.GROUPS, 5000))
+    tree = lm.Tree.of(group, rng.integers(1, 50, 5000), rng.integers(0, 9, lm.GROUPS))
+    below = lm.Below.start(tree)
+    below.e[:-1], below.q[:], below.b[:] = (rng.normal(size=x.shape) for x in (below.e[:-1], below.q, below.b))
+    net = lm.Network(*(rng.normal(size=s).astype(np.float32) for s in ((lm.CLASSES + 1, lm.WIDTH), (lm.CONTEXT, lm.WIDTH), (lm.CLASSES, lm.WIDTH), (lm.CLASSES,))))
+    # heads and end, words of the table, and the words outside it as one of each group
+    target = np.concatenate([np.arange(lm.HEADS), [lm.END], lm.HEADS + group, lm.HEADS + np.arange(lm.GROUPS)])
+    word = np.concatenate([np.full(lm.HEADS + 1, -1), np.arange(5000), np.full(lm.GROUPS, -1)])
+    context, near = (np.tile(rng.integers(-1 if k else 0, top, lm.CONTEXT), (len(target), 1)) for k, top in enumerate((lm.CLASSES + 1, 5000)))
+    assert (10 ** lm.log10(net, below, target, context, word, near)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_lm_empty_tables(make_docs):
     assert lm.lm_scores(make_docs([])).collect() == []
 

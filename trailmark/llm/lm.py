@@ -2,18 +2,24 @@
 
 Tokens are words (A-Z lowered) and an end. The network predicts a token's class
 from the classes of the tokens before it: the most frequent words are classes
-by themselves, all others fall into groups by their last two bytes. Inside a
-group a word has its share of the group's training counts, with half a count
-added to each and half for what was never seen. So every text has a normalised
-probability:
-
-    log P(token) = log softmax(r . Q + b)[class] + log share(token in class)
-    r = sum over the last CONTEXT tokens of (position weights * class vector)
+by themselves, all others fall into groups by their last two bytes. A group's
+words of the broadcast table stand in cells of CELL words, by frequency; one
+more cell stands for the words outside the table. The network predicts the cell
+in the group and the word in the cell too, and every word of the table has
+vectors of its own, as context and as what is predicted. Only a word outside the
+table has its share of such words' training counts in the group, with half a
+count added to each and half for what was never seen. So every text has a
+normalised probability:
+
+    log P(token) = log softmax(r . Q + b)[class] + log softmax(r . Q + b)[cell of class]
+                   + log softmax(r . Q + b)[word of cell], or + log share(word outside the table)
+    r = sum over the last CONTEXT tokens of (position weights * (class vector + word vector))
 
 Training goes over all training texts: each task runs noise-contrastive
 estimation in numpy on its part from a common start, and the parameters are
-averaged by their numbers of tokens, in two steps, so the driver gets a bounded
-number of small arrays. Softmax sums are taken in full, by batched matrix
+averaged, those of classes by numbers of tokens and those of words and cells by
+how often they were met, in two steps, so the driver gets a bounded number of
+small arrays and one row for each word of the table. Softmax sums are taken in full, by batched matrix
 products.
 
 Counts are those of all training tokens. The most frequent words' counts (at
@@ -44,6 +50,8 @@ HEADS, GROUPS, CONTEXT, WIDTH = 111, 48, 4, 16
 END = HEADS + GROUPS
 CLASSES = END + 1
 NOISE, BATCH, RATE = 64, 4096, 0.02
+#: Words of a cell at most, and noise drawn for each word and each cell.
+CELL, NOISE_BELOW = 64, 4
 #: The first steps take so many tokens, every so many steps twice as many, up to BATCH.
 FIRST_BATCH, DOUBLING = 256, 64
 #: Most words whose counts go to every task; averaging goes through so many rows.
@@ -85,6 +93,41 @@ def counts(texts: DataFrame) -> DataFrame:
     return partial.groupBy("h").agg(F.min("g").alias("g"), F.sum("c").alias("c"))
 
 
+@dataclass(frozen=True)
+class Tree:
+    """What stands below the groups: words, cell by cell, then cells, group by group. Siblings are neighbours."""
+
+    words: int
+    lo: np.ndarray  # of words and cells: their siblings are lo to hi
+    hi: np.ndarray
+    cell: np.ndarray  # of words: the number of their cell
+    rest: np.ndarray  # of groups: the cell of the words outside the table
+    upto: np.ndarray  # sums of counts before each, and the whole sum
+    share: np.ndarray  # among the siblings, by counts
+
+    @classmethod
+    def of(cls, group: np.ndarray, count: np.ndarray, rest_counts: np.ndarray) -> Tree:
+        """group and count of the words, by group; rest_counts are those of the words outside the table, by group."""
+        sizes = np.bincount(group, minlength=GROUPS)
+        rank = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        n_cells = 1 + -(-sizes // CELL)
+        first = np.cumsum(n_cells) - n_cells  # the first cell of a group is for the words outside the table
+        cell = first[group] + 1 + rank // CELL
+        cell_counts = np.bincount(cell, count, int(n_cells.sum()))
+        cell_counts[first] = rest_counts
+        starts, n = np.searchsorted(cell, np.arange(len(cell_counts) + 1)), len(group)
+        lo = np.concatenate([starts[cell], n + np.repeat(first, n_cells)])
+        hi = np.concatenate([starts[cell + 1], n + np.repeat(first + n_cells, n_cells)])
+        upto = np.concatenate([[0], np.cumsum(np.concatenate([count, cell_counts + 0.5]))])
+        return cls(n, lo, hi, n + cell, n + first, upto, np.diff(upto) / (upto[hi] - upto[lo]))
+
+    def draw(self, node: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """NOISE_BELOW siblings of each node by their counts, itself among them."""
+        lo, hi = self.lo[node][:, None], self.hi[node][:, None]
+        at = self.upto[lo] + rng.random((len(node), NOISE_BELOW)) * (self.upto[hi] - self.upto[lo])
+        return np.clip(np.searchsorted(self.upto, at, "right") - 1, lo, hi - 1)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Training totals and the frequent words, by ascending hash."""
@@ -95,8 +138,10 @@ class Vocabulary:
     hashes: np.ndarray
     counts: np.ndarray
     classes: np.ndarray  # of the words of hashes: a head's number or the group's
-    masses: np.ndarray  # by group: sum of (count + 0.5) of its words, and 0.5
+    masses: np.ndarray  # by group: sum of (count + 0.5) of its words outside hashes, and 0.5
     frequency: np.ndarray  # by class
+    nodes: np.ndarray  # of the words of hashes: the number in tree, -1 for heads
+    tree: Tree
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places in hashes, -1 if absent."""
@@ -137,23 +182,34 @@ def vocabulary(table: DataFrame, n_texts: int) -> Vocabulary:
     frequency[: len(heads)] = c[heads]
     frequency[HEADS:END] = group_counts
     frequency[END] = n_texts
-    return Vocabulary(n + n_texts, v + (n_texts > 0), n_texts, h, c, classes, masses, frequency)
+    below = np.flatnonzero(classes >= HEADS)
+    below = below[np.lexsort((h[below], -c[below], g[below]))]
+    np.subtract.at(masses, g[below], c[below] + 0.5)
+    nodes = np.full(len(h), -1)
+    nodes[below] = np.arange(len(below))
+    tree = Tree.of(g[below], c[below], group_counts - np.bincount(g[below], c[below], GROUPS))
+    return Vocabulary(n + n_texts, v + (n_texts > 0), n_texts, h, c, classes, masses, frequency, nodes, tree)
+
+
+def before(target: np.ndarray, since: np.ndarray, none: int) -> np.ndarray:
+    """What stands before each token, the nearest first; since counts the tokens before it in its text."""
+    context = np.full((len(target), CONTEXT), none, np.int64)
+    for i in range(CONTEXT):
+        if len(target) > i:
+            context[i + 1 :, i] = np.where(since[i + 1 :] > i, target[: len(target) - i - 1], none)
+    return context
 
 
-def sequence(piece: Slice, words: Vocabulary, place: np.ndarray, h: np.ndarray, g: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all tokens, each text's end included, and the classes before each (the nearest first)."""
+def sequence(piece: Slice, words: Vocabulary, place: np.ndarray, h: np.ndarray, g: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens, each text's end included, and the classes before each; then words (tree numbers or -1) likewise."""
     n = len(piece)
     size = np.bincount(owner, minlength=n) + 1
-    target = np.full(int(size.sum()), END, np.int64)
-    first = np.cumsum(size) - size
+    target, word = np.full(int(size.sum()), END, np.int64), np.full(int(size.sum()), -1, np.int64)
     at = np.arange(len(h)) + owner
     target[at] = words.classed(h, g, place)
-    since = np.arange(len(target)) - np.repeat(first, size)
-    context = np.full((len(target), CONTEXT), CLASSES, np.int64)
-    for i in range(CONTEXT):
-        if len(target) > i:
-            context[i + 1 :, i] = np.where(since[i + 1 :] > i, target[: len(target) - i - 1], CLASSES)
-    return target, context
+    word[at] = np.where(place >= 0, words.nodes[place] if len(words.nodes) else -1, -1)
+    since = np.arange(len(target)) - np.repeat(np.cumsum(size) - size, size)
+    return target, before(target, since, CLASSES), word, before(word, since, -1)
 
 
 class Network:
@@ -187,12 +243,13 @@ class Network:
             out += self.r[context[:, i]] * self.p[i]
         return out
 
-    def log10(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of the target classes."""
+    def log10(self, target: np.ndarray, context: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+        """Normalised log10 probabilities of the target classes; more: what word vectors add to the prediction."""
         out = np.empty(len(target))
         for lo in range(0, len(target), 8192):
             part = slice(lo, lo + 8192)
-            logits = self.predicted(context[part]) @ self.q.T + self.b
+            guess = self.predicted(context[part])
+            logits = (guess if more is None else guess + more[part]) @ self.q.T + self.b
             own = logits[np.arange(len(logits)), target[part]].astype(np.float64)
             top = logits.max(axis=1, keepdims=True)
             total = np.exp(logits - top).sum(axis=1, dtype=np.float64)
@@ -200,11 +257,74 @@ class Network:
         return out
 
 
+class Below:
+    """Of every word and cell of a tree: what it adds to a prediction as context (e), output vector q and bias b, float32."""
+
+    def __init__(self, tree: Tree, e: np.ndarray, q: np.ndarray, b: np.ndarray):
+        self.tree, self.e, self.q, self.b = tree, e, q, b
+
+    @classmethod
+    def start(cls, tree: Tree) -> Below:
+        n = len(tree.share)
+        # e has one more row, of zeros, which -1 meets
+        return cls(tree, np.zeros((n + 1, WIDTH), np.float32), np.zeros((n, WIDTH), np.float32), np.log(tree.share).astype(np.float32))
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.e[at], self.q[at], self.b[at, None]], axis=1)
+
+    def put(self, at: np.ndarray, rows: np.ndarray) -> None:
+        self.e[at], self.q[at], self.b[at] = rows[:, :WIDTH], rows[:, WIDTH:-1], rows[:, -1]
+
+    def added(self, p: np.ndarray, words: np.ndarray) -> np.ndarray:
+        out = self.e[words[:, 0]] * p[0]
+        for i in range(1, CONTEXT):
+            out += self.e[words[:, i]] * p[i]
+        return out
+
+    def log10(self, guess: np.ndarray, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """By row of guess: the sum of normalised log10 probabilities of the nodes (at: their rows) among their siblings."""
+        out, lo = np.zeros(len(guess)), self.tree.lo[node]
+        order = np.argsort(lo, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(lo[order])) + 1) if len(order) else []:
+            first, last, rows = lo[part[0]], self.tree.hi[node[part[0]]], at[part]
+            logits = guess[rows] @ self.q[first:last].T + self.b[first:last]
+            own = logits[np.arange(len(part)), node[part] - first].astype(np.float64)
+            top = logits.max(axis=1, keepdims=True)
+            out[rows] += own - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1, dtype=np.float64))
+        return out / np.log(10)
+
+
+def log10(net: Network, below: Below, target: np.ndarray, context: np.ndarray, word: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """log10 probabilities of tokens, those of words outside the table without their share in it."""
+    out = np.empty(len(target))
+    for lo in range(0, len(target), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        more = below.added(net.p, words[part])
+        out[part] = net.log10(target[part], context[part], more)
+        guess = net.predicted(context[part]) + more
+        for at, node in nodes_of(below.tree, target[part], word[part]):
+            out[part] += below.log10(guess, at, node)
+    return out
+
+
+def nodes_of(tree: Tree, target: np.ndarray, word: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The cells of tokens that are in groups, then the words of those in the table: places of the tokens, numbers in tree."""
+    grouped, known = np.flatnonzero((target >= HEADS) & (target < END)), np.flatnonzero(word >= 0)
+    cell = tree.rest[target[grouped] - HEADS]
+    own = word[grouped]
+    cell[own >= 0] = tree.cell[own[own >= 0]]
+    return [(grouped, cell), (known, word[known])]
+
+
 class Trainer:
-    """Noise-contrastive estimation by Adam; the noise is shared by a batch."""
+    """Noise-contrastive estimation by Adam; the noise among classes is shared by a batch."""
 
-    def __init__(self, network: Network, frequency: np.ndarray, seed: int):
+    def __init__(self, network: Network, below: Below, frequency: np.ndarray, seed: int):
         self.net, self.rng = network, np.random.default_rng(seed)
+        self.below, n = below, len(below.b)
+        self.below_offset = np.log(NOISE_BELOW * below.tree.share).astype(np.float32)
+        self.met, self.number = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+        self.squares = {"e": np.zeros_like(below.e), "q": np.zeros_like(below.q), "b": np.zeros_like(below.b)}
         share = (frequency + 0.5) / (frequency + 0.5).sum()
         self.upto = np.cumsum(share)
         self.offset = np.log(NOISE * share).astype(np.float32)
@@ -215,20 +335,32 @@ class Trainer:
     def batch(self) -> int:
         return min(BATCH, FIRST_BATCH << min(self.step // DOUBLING, 16))
 
-    def learn(self, target: np.ndarray, context: np.ndarray) -> None:
-        net, n = self.net, len(target)
+    def learn(self, target: np.ndarray, context: np.ndarray, word: np.ndarray, words: np.ndarray) -> None:
+        net, low, n = self.net, self.below, len(target)
         noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
-        guess = net.predicted(context)
+        guess = net.predicted(context) + low.added(net.p, words)
         own, other = net.q[target], net.q[noise]
         gap = (guess * own).sum(axis=1) + net.b[target] - self.offset[target]
         up = -1 / (1 + np.exp(np.clip(gap, -30, 30)))  # sigmoid(gap) - 1
         gap = guess @ other.T + (net.b[noise] - self.offset[noise])
         down = 1 / (1 + np.exp(-np.clip(gap, -30, 30)))
         pull = up[:, None] * own + down @ other
+        ids, errors, rows = [], [], []
+        for at, node in nodes_of(low.tree, target, word):
+            both = np.concatenate([node[:, None], low.tree.draw(node, self.rng)], axis=1)
+            vectors, here = low.q[both], guess[at]
+            gap = np.einsum("nkw,nw->nk", vectors, here) + low.b[both] - self.below_offset[both]
+            error = 1 / (1 + np.exp(-np.clip(gap, -30, 30)))
+            error[:, 0] -= 1
+            pull[at] += np.einsum("nk,nkw->nw", error, vectors)
+            ids.append(both.ravel())
+            errors.append(error.ravel())
+            rows.append((error[:, :, None] * here[:, None, :]).reshape(-1, WIDTH))
         grads = [np.zeros_like(x) for x in net.parts()]
         for i in range(CONTEXT):
-            grads[0] += _scatter(context[:, i], pull * net.p[i], CLASSES + 1)
-            grads[1][i] = (net.r[context[:, i]] * pull).sum(axis=0)
+            pulled = pull * net.p[i]
+            grads[0] += _scatter(context[:, i], pulled, CLASSES + 1)
+            grads[1][i] = ((net.r[context[:, i]] + low.e[words[:, i]]) * pull).sum(axis=0)
         grads[2] = _scatter(target, up[:, None] * guess, CLASSES)
         np.add.at(grads[2], noise, down.T @ guess)
         grads[3] = np.bincount(target, up, CLASSES).astype(np.float32)
@@ -240,50 +372,95 @@ class Trainer:
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             x -= rate * (a / (1 - 0.9**self.step)) / (np.sqrt(b / (1 - 0.99**self.step)) + 1e-8)
+        # words and cells that the batch did not meet stay as they are
+        met, at = self.numbered(np.concatenate(ids))
+        self.met[met] += np.bincount(at, minlength=len(met))
+        self.move("q", met, _scatter(at, np.concatenate(rows), len(met)), rate)
+        self.move("b", met, np.bincount(at, np.concatenate(errors), len(met)).astype(np.float32), rate)
+        known = words >= 0
+        met, at = self.numbered(words[known])
+        self.move("e", met, _scatter(at, (pull[:, None, :] * net.p)[known], len(met)), rate)
         self.tokens += n
 
+    def numbered(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different ids, and the place of each id among them."""
+        self.number[:] = 0
+        self.number[ids] = 1
+        met = np.flatnonzero(self.number)
+        self.number[met] = np.arange(len(met))
+        return met, self.number[ids]
+
+    def move(self, name: str, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        """Adagrad for rows that few batches meet."""
+        x, squares = getattr(self.below, name), self.squares[name]
+        squares[at] += grad * grad
+        x[at] -= 5 * rate * grad / (np.sqrt(squares[at]) + 1)
+
 
 def _scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     flat = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
     return np.bincount(flat, rows.ravel(), size * WIDTH).reshape(size, WIDTH).astype(np.float32)
 
 
-def train(texts: DataFrame, words: Vocabulary) -> Network:
-    """The network after one pass over texts (text), averaged over tasks by their tokens."""
-    start = Network.start(words.frequency)
+def train(texts: DataFrame, words: Vocabulary) -> tuple[Network, Below]:
+    """The network after one pass over texts (text), averaged over tasks."""
+    start, below = Network.start(words.frequency), Below.start(words.tree)
+    wide, step = 2 * WIDTH + 1, -(-len(below.b) // SLOTS)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(Network.start(words.frequency), words.frequency, 7)
+        trainer = Trainer(Network.start(words.frequency), Below.start(words.tree), words.frequency, 7)
         for batch in batches:
             for piece in slices(batch.column(0)):
                 h, g, owner = tokens(piece)
-                target, context = sequence(piece, words, words.find(h), h, g, owner)
-                order = trainer.rng.permutation(len(target))  # neighbours in a batch tell little
+                parts = sequence(piece, words, words.find(h), h, g, owner)
+                order = trainer.rng.permutation(len(parts[0]))  # neighbours in a batch tell little
                 lo = 0
                 while lo < len(order):
                     part = order[lo : lo + trainer.batch()]
-                    trainer.learn(target[part], context[part])
+                    trainer.learn(*(x[part] for x in parts))
                     lo += len(part)
         if trainer.tokens:
             slot = int(trainer.net.b.view(np.uint32).sum() % SLOTS)
             yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([trainer.tokens]), pa.array([trainer.net.pack()], pa.binary())], ["slot", "tokens", "network"])
+            for slot in range(SLOTS):  # tokens -1: rows of words and cells that were met, their numbers and weights before them
+                at = slot * step + np.flatnonzero(trainer.met[slot * step : (slot + 1) * step])
+                if len(at):
+                    packed = at.astype("<i4").tobytes() + trainer.met[at].astype("<f4").tobytes() + trainer.below.rows(at).astype("<f4").tobytes()
+                    yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([-1]), pa.array([packed], pa.binary())], ["slot", "tokens", "network"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = 0.0, 0
+        total, weight, sums = 0.0, 0, {}
         for batch in batches:
-            for tokens_, packed in zip(batch.column("tokens").to_pylist(), batch.column("network").to_pylist(), strict=True):
-                total, weight = total + tokens_ * np.frombuffer(packed, "<f4").astype(np.float64), weight + tokens_
+            for slot, tokens_, packed in zip(*(batch.column(k).to_pylist() for k in ("slot", "tokens", "network")), strict=True):
+                if tokens_ >= 0:
+                    total, weight = total + tokens_ * np.frombuffer(packed, "<f4").astype(np.float64), weight + tokens_
+                    continue
+                n = len(packed) // (4 * (wide + 2))
+                at, w = np.frombuffer(packed, "<i4", n) - slot * step, np.frombuffer(packed, "<f4", n, 4 * n).astype(np.float64)
+                into = sums.setdefault(slot, np.zeros((step, wide + 1)))
+                into[at, :wide] += w[:, None] * np.frombuffer(packed, "<f4", n * wide, 8 * n).reshape(n, wide)
+                into[at, wide] += w
+        names = ["slot", "tokens", "network"]
         if weight:
-            yield pa.record_batch([pa.array([weight]), pa.array([(total / weight).tobytes()], pa.binary())], ["tokens", "network"])
-
-    tasks = texts.select("text").mapInArrow(learn, "slot int, tokens bigint, network binary")
-    # one network a task goes to SLOTS tasks, and one from each of those to the driver
-    got = tasks.repartition(SLOTS, "slot").mapInArrow(average, "tokens bigint, network binary").collect()
+            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([weight]), pa.array([(total / weight).tobytes()], pa.binary())], names)
+        for slot, into in sums.items():
+            at = np.flatnonzero(into[:, wide])
+            packed = (at + slot * step).astype("<i4").tobytes() + (into[at, :wide] / into[at, wide:]).astype("<f4").tobytes()
+            yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([-1]), pa.array([packed], pa.binary())], names)
+
+    schema = "slot int, tokens bigint, network binary"
+    # the network of a task and its rows, in SLOTS ranges, go to SLOTS tasks, and the averages to the driver
+    got = texts.select("text").mapInArrow(learn, schema).repartition(SLOTS, "slot").mapInArrow(average, schema).collect()
+    for r in got:
+        if r["tokens"] < 0:
+            packed = bytes(r["network"])
+            n = len(packed) // (4 * (wide + 1))
+            below.put(np.frombuffer(packed, "<i4", n), np.frombuffer(packed, "<f4", n * wide, 4 * n).reshape(n, wide))
+    got = sorted((r["tokens"], bytes(r["network"])) for r in got if r["tokens"] >= 0)
     if not got:
-        return start
-    got = sorted((r["tokens"], bytes(r["network"])) for r in got)
+        return start, below
     total = sum(t * np.frombuffer(x, np.float64) for t, x in got)
-    return Network.unpack(total / sum(t for t, _ in got))
+    return Network.unpack(total / sum(t for t, _ in got)), below
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -292,7 +469,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     training = small_batches(docs).filter(~out).select("text")
     table = written(counts(training), "lm-words")
     words = vocabulary(table, training.count())
-    network = train(training, words)
+    network, below = train(training, words)
     log_total = np.log10(words.n + 0.5 * (words.v + 1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,15 +481,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 n = len(piece)
                 h, g, owner = tokens(piece)
                 place = words.find(h)
-                target, context = sequence(piece, words, place, h, g, owner)
+                target, context, word, near = sequence(piece, words, place, h, g, owner)
                 size = np.bincount(owner, minlength=n) + 1
                 of = np.repeat(np.arange(n), size)
-                score = np.bincount(of, network.log10(target, context), n)
+                score = np.bincount(of, log10(network, below, target, context, word, near), n)
                 frequent = place >= 0
                 log_count = np.where(frequent, ln[place] if len(ln) else 0.0, 0.0)
                 base = np.bincount(owner, log_count, n) + np.log10(words.ends + 0.5) - size * log_total
-                grouped = target[np.arange(len(h)) + owner] >= HEADS
-                score += np.bincount(owner, np.where(grouped, log_count - mass[g], 0.0), n)
+                score -= np.bincount(owner, np.where(frequent, 0.0, mass[g]), n)
                 known = np.bincount(owner, frequent, n).astype(np.int64) + (words.ends > 0)
                 # the words whose counts are not here
                 rare = np.flatnonzero(~frequent)
