@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,38 @@ def test_json_sink_refuses_to_overwrite(spark, tmp_path):
     sessions.write_once(spark.range(2), str(tmp_path / "out"))
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         sessions.write_once(spark.range(2), str(tmp_path / "out"))
+
+
+def slow_cover(late, early, min_run):
+    """The definition, place by place: blank lines match too, each place takes its longest run."""
+    def length(i, j):
+        n = 0
+        while i + n < len(late) and j + n < len(early) and late[i + n] == early[j + n]:
+            n += 1
+        return n
+
+    out, i = [], 0
+    while i < len(late):
+        n, j = max(((length(i, j), -j) for j in range(len(early))), default=(0, 0))
+        if n and n >= min_run:
+            out.append((i + 1, i + n, -j + 1))
+            i += n
+        else:
+            i += 1
+    return out
+
+
+def test_cover_of_texts_with_blank_and_common_lines():
+    rng = random.Random(2)
+    for _ in range(300):
+        early = [rng.choice(["", "", "a", "b", "c"]) for _ in range(rng.randint(0, 30))]
+        at = rng.randint(0, len(early))
+        late = [rng.choice(["", "a", "d"]) for _ in range(rng.randint(0, 6))] + early[at:] + early[:at]
+        for min_run in (1, 3, 6):
+            assert dedupe.cover(late, early, min_run) == slow_cover(late, early, min_run)
+
+
+def test_content_runs_go_on_over_blank_lines(spark):
+    text = "\n".join("" if i % 20 == 0 else f"line {i}" for i in range(200))
+    found = dedupe.reads(spark.createDataFrame(session(("user", "go"), ("read", "a", "f.ts", 0, text), ("read", "b", "f.ts", 0, text)), COLUMNS))
+    assert [tuple(r)[2:] for r in dedupe.content_runs(found, dedupe.evidence(found)).collect()] == [(1, 1, 200, 1)]

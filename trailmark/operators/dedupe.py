@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,19 +137,50 @@ def savings(messages: DataFrame, cfg: Freshness = DEFAULT) -> DataFrame:
     return events.join(done, "session", "left").select("session", "reads", "read_tokens", zero("collapsed"), zero("saved"))
 
 
+def cover(late: list[str], early: list[str], min_run: int) -> list[tuple[int, int, int]]:
+    """Runs of late that stand together in early, blank lines like any other: from, to, first place in early.
+
+    From the left, each place takes its longest run, if that is long enough, and
+    goes on after it. Of equally long ones the first in early counts.
+    """
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(early):
+        places.setdefault(line, []).append(j)
+    at = {line: np.array(found) for line, found in places.items()}
+    best, where = np.zeros(len(late), np.int64), np.zeros(len(late), np.int64)
+    after, none = np.zeros(len(early) + 1, np.int64), np.zeros(0, np.int64)
+    set_ = none
+    for i in range(len(late) - 1, -1, -1):
+        found = at.get(late[i], none)
+        lengths = 1 + after[found + 1]
+        after[set_] = 0  # what the line below has set
+        after[found], set_ = lengths, found
+        if len(found):
+            k = int(lengths.argmax())
+            best[i], where[i] = lengths[k], found[k]
+    runs, i = [], 0
+    while i < len(late):
+        if best[i] >= min_run:
+            runs.append((i + 1, i + int(best[i]), int(where[i]) + 1))
+            i += int(best[i])
+        else:
+            i += 1
+    return runs
+
+
 def content_runs(found: DataFrame, pairs: DataFrame, min_run: int = DEFAULT.min_run) -> DataFrame:
-    """Runs of equal lines at any place (the archived rule), by diagonals: session, ord, rank, from, to, e_from.
+    """Runs of equal lines at any place (the archived rule): session, ord, rank, from, to, e_from.
 
-    Blank lines start no match; they only extend runs around them.
+    Blank lines match like others. The two texts of a pair are compared in one
+    place, so common lines make no rows.
     """
-    side = found.select("session", "ord", F.posexplode(T.pieces(F.col("body"))).alias("i", "line"))
-    late = pairs.select("session", "ord", "rank", "e_ord").join(side, ["session", "ord"])
-    early = pairs.select("session", "ord", "rank", "e_ord").join(side.select("session", F.col("ord").alias("e_ord"), F.col("i").alias("j"), F.col("line").alias("e_line")), ["session", "e_ord"])
-    both = late.join(early.drop("e_ord"), ["session", "ord", "rank"]).filter("line = e_line and line <> ''")
-    diagonal = both.withColumn("d", F.col("j") - F.col("i"))
-    island = F.col("i") - F.row_number().over(W.partitionBy("session", "ord", "rank", "d").orderBy("i"))
-    runs = diagonal.withColumn("island", island).groupBy("session", "ord", "rank", "d", "island").agg((F.min("i") + 1).alias("from"), (F.max("i") + 1).alias("to"), (F.min("j") + 1).alias("e_from"))
-    return runs.filter(F.col("to") - F.col("from") + 1 >= min_run).drop("island", "d")
+    @F.pandas_udf("array<struct<from:int,to:int,e_from:int>>")
+    def covered(late: pd.Series, early: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("from", "to", "e_from"), run, strict=True)) for run in cover(a.split("\n"), b.split("\n"), min_run)] for a, b in zip(late, early, strict=True)])
+
+    early = found.select("session", F.col("ord").alias("e_ord"), F.col("body").alias("e_body"))
+    both = pairs.select("session", "ord", "rank", "e_ord").join(found.select("session", "ord", "body"), ["session", "ord"]).join(early, ["session", "e_ord"])
+    return both.select("session", "ord", "rank", F.explode(covered("body", "e_body")).alias("run")).select("session", "ord", "rank", "run.*")
 
 
 def ages(messages: DataFrame) -> DataFrame:
