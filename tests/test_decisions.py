@@ -43,6 +43,16 @@ def test_policies(spark, row, safe, composite, guarded, hybrid):
         assert tuple(got) == (safe, composite, guarded, hybrid)
 
 
+def test_relations_by_tools(spark):
+    path, grep, bash = '{"path":"a.ts"}', '{"pattern":"x"}', '{"command":"make"}'
+    rows = [("s", 1, "read", path, False, "t"), ("s", 2, "edit", path, False, "t"), ("s", 3, "read", path, False, "u"), ("s", 4, "grep", grep, False, "t"), ("s", 5, "grep", grep, False, "t"), ("s", 6, "bash", bash, True, "t"), ("s", 7, "bash", bash, False, "t")]
+    got = policy.relations(spark.createDataFrame(rows, "session string, seq long, tool string, args string, is_error boolean, text string")).collect()
+    assert {(r["seq"], r["later_seq"]): r["relation"] for r in got} == {
+        (1, 2): "the same file was modified later", (1, 3): "the same file was read again later", (2, 3): "the same lookup was repeated later",
+        (4, 5): "the same lookup was repeated later", (6, 7): "the same command was run again later",
+    }
+
+
 EVAL = "key string, truth string, acceptable array<string>, critical boolean, pred string, tokens int, truncated_tokens int"
 
 

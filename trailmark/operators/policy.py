@@ -126,11 +126,20 @@ def rules(events: DataFrame, long_lines: int = 150) -> DataFrame:
 
 
 def relations(events: DataFrame, last: int = 6) -> DataFrame:
-    """For each result the last later ones of its key: session, seq, later_seq, relation."""
+    """For each result the last later ones of its key: session, seq, later_seq, relation, outcome.
+
+    relation says by the tools what was done again; outcome says how the later result compares.
+    """
     keyed = events.withColumn("key", X.related_key(F.col("tool"), F.col("args"))).filter("key is not null").select("session", "key", "seq", "tool", "is_error", F.sha2("text", 256).alias("d"))
     # the last few of a key serve all its results, so a join by key meets few rows
     newest = keyed.withColumn("place", F.row_number().over(W.partitionBy("session", "key").orderBy(F.desc("seq")))).filter(F.col("place") <= last)
     later = newest.select("session", "key", F.col("seq").alias("later_seq"), F.col("tool").alias("l_tool"), F.col("is_error").alias("l_error"), F.col("d").alias("l_d"))
     both = keyed.join(later, ["session", "key"]).filter("later_seq > seq")
-    relation = F.when((F.col("d") == F.col("l_d")) & (F.col("is_error") == F.col("l_error")), "identical").when(F.col("tool") != F.col("l_tool"), "other tool").when(F.col("is_error") & ~F.col("l_error"), "now succeeds").when(~F.col("is_error") & F.col("l_error"), "now fails").otherwise("changed")
-    return both.select("session", "seq", "later_seq", relation.alias("relation"))
+    relation = (
+        F.when(F.col("l_tool").isin("edit", "write"), "the same file was modified later")
+        .when((F.col("tool") == "read") & (F.col("l_tool") == "read"), "the same file was read again later")
+        .when(F.col("tool") == "bash", "the same command was run again later")
+        .otherwise("the same lookup was repeated later")
+    )
+    outcome = F.when((F.col("d") == F.col("l_d")) & (F.col("is_error") == F.col("l_error")), "identical").when(F.col("tool") != F.col("l_tool"), "other tool").when(F.col("is_error") & ~F.col("l_error"), "now succeeds").when(~F.col("is_error") & F.col("l_error"), "now fails").otherwise("changed")
+    return both.select("session", "seq", "later_seq", relation.alias("relation"), outcome.alias("outcome"))

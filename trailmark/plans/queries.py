@@ -308,6 +308,12 @@ def changed_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How later results of a key compare with earlier ones."""
+    found = policy.relations(events.tool_events(synth.sessions(spark, sf_dir)))
+    return found.groupBy("session", F.col("outcome").alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def later_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-73."""
     found = policy.relations(events.tool_events(synth.sessions(spark, sf_dir)))
     return found.groupBy("session", "relation").agg(F.count(F.lit(1)).alias("n"))
@@ -339,7 +345,7 @@ def trimmed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "inv20_text_measures": text_measures, "inv25_call_summaries": call_summaries, "inv27_outcome_lines": outcome_lines, "inv28_line_priorities": line_priorities,
     "inv31_hidden_references": hidden_references, "inv35_document_words": document_words, "inv37_request_terms": request_terms, "inv41_command_kinds": command_kinds,
-    "inv62_tool_events": tool_events, "inv63_evidence_pairs": evidence_pairs, "inv64_matched_runs": matched_runs, "inv65_content_runs": content_runs, "inv73_relations": relations,
+    "inv62_tool_events": tool_events, "inv63_evidence_pairs": evidence_pairs, "inv64_matched_runs": matched_runs, "inv65_content_runs": content_runs, "inv73_relations": relations, "inv73_later_relations": later_relations,
     "inv88_stack_regions": stack_regions, "inv92_key_runs": key_runs, "inv101_idle_gaps": idle_gaps, "inv102_checkpoints": checkpoints,
     "inv104_seen_savings": seen_savings, "inv105_reread_census": reread_census, "inv106_changed_diffs": changed_diffs, "inv107_session_census": session_census, "inv107_role_tokens": role_tokens,
     "inv108_output_profile": output_profile, "inv108_long_exclusions": long_exclusions, "inv108_repeated_lines": repeated_lines, "inv109_read_inventory": read_inventory, "inv110_classifier_coverage": classifier_coverage,
