@@ -1,10 +1,12 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import dedupe, events
+from trailmark.functions import logs
+from trailmark.operators import analytics, dedupe, events
 from trailmark.sources import model, sessions
 from trailmark.streaming import replay
 
@@ -173,6 +175,53 @@ def test_json_sink_refuses_to_overwrite(spark, tmp_path):
         sessions.write_once(spark.range(2), str(tmp_path / "out"))
 
 
+def held(texts):
+    """Facts of the tests' texts: words with an underscore."""
+    return set(re.findall(r"\w+_\w+", texts))
+
+
+def slowly_used(rows, i, candidates, horizon):
+    used = 0
+    for fact in candidates:
+        first = next((r for r in rows[i + 1 : i + 1 + horizon] if fact in held(r[7] if r[2] != "call" else r[6])), None)
+        used += first is not None and first[2] != "result"
+    return used
+
+
+def test_sole_sources_at_checkpoints(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        kind = "user" if i % 9 == 0 else rng.choice(["text", "result"])
+        text = " ".join(f"fact_{rng.randint(100, 260)}" for _ in range(3)) + (" pad" * (200 if i % 2 else 10) if kind == "result" else "")
+        rows.append(("s", i, kind, "user" if kind == "user" else "assistant", f"c{i}" if kind == "result" else None, "bash" if kind == "result" else None, None, text, False, True))
+    users = [i for i, r in enumerate(rows) if r[2] == "user"]
+    points = users[2:]
+    want = {}
+    for u in points[:: max(1, -(-len(points) // 8))]:
+        for i in range(users[users.index(u) - 1]):
+            if rows[i][2] == "result" and len(rows[i][7]) > 596:
+                sole = [f for f in held(rows[i][7]) if sum(f in held(r[7]) for r in rows[: u + 1]) == 1]
+                want[u, i] = (len(sole), slowly_used(rows, u, sole, 20))
+    got = analytics.sole_sources(spark.createDataFrame(rows, COLUMNS), horizon=20).collect()
+    assert {(r["checkpoint"], r["ord"]): (r["sole_facts"], r["used_facts"]) for r in got} == want
+    assert any(n for n, _ in want.values()) and any(k for _, k in want.values())
+
+
+def test_facts_of_two_blocks_belong_to_neither(spark):
+    lines = [f"step {i} name_{i} both_all {'seen_before' if i == 3 else ''}" for i in range(400)]
+    rows = [("s", 0, "user", "user", None, None, None, "seen_before", False, True), ("s", 1, "result", "toolResult", "c", "bash", None, "\n".join(lines), False, True), ("s", 2, "text", "assistant", None, None, None, "name_5 both_all seen_before", False, True)]
+    blocks = logs.split_blocks("\n".join(lines))
+    assert len(blocks) > 1
+    got = {r["block"]: (r["own_facts"], r["used_facts"]) for r in analytics.block_facts(spark.createDataFrame(rows, COLUMNS)).collect()}
+    of = {b["id"]: held(b["text"]) for b in blocks}
+    want = {}
+    for k, facts in of.items():
+        mine = [f for f in facts if len(f) >= 5 and f != "seen_before" and not any(f in other for x, other in of.items() if x != k)]
+        want[k] = (len(mine), int("name_5" in mine))
+    assert got == want
+
+
 def slow_cover(late, early, min_run):
     """The definition, place by place: blank lines match too, each place takes its longest run."""
     def length(i, j):

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import shell
+from ..functions import logs, shell
 from ..functions import text as X
 from . import sieve
 from .events import tool_events
@@ -145,9 +145,55 @@ def facts_used(messages: DataFrame, horizon: int = 80) -> DataFrame:
     Facts meet messages by equality of extracted facts within the session, an
     equi join; a fact inside a longer one does not count.
     """
+    own = _first_held(messages).filter("kind = 'result'")
+    return own.groupBy("session", "ord").agg(F.count(F.lit(1)).alias("new_facts"), F.count_if(_used_within(F.col("n"), horizon)).alias("used_facts"))
+
+
+def _numbered(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy("ord")))
+
+
+def _first_held(messages: DataFrame) -> DataFrame:
+    """Each fact of a session where it is first held, and the next message that holds it: session, n, ord, kind, fact, next_n, next_kind."""
+    text = F.when(F.col("kind") == "call", F.coalesce("args", F.lit("{}"))).otherwise(F.coalesce("text", F.lit("")))
+    held = _numbered(messages).select("session", "n", "ord", "kind", F.explode(X.facts(text)).alias("fact"))
+    at = W.partitionBy("session", "fact").orderBy("n")
+    return held.withColumns({"first": F.row_number().over(at), "next_n": F.lead("n").over(at), "next_kind": F.lead("kind").over(at)}).filter("first = 1").drop("first")
+
+
+def _used_within(after: F.Column, horizon: int) -> F.Column:
+    return F.col("next_n").isNotNull() & (F.col("next_n") <= after + horizon) & (F.col("next_kind") != "result")
+
+
+def block_facts(messages: DataFrame, horizon: int = 80) -> DataFrame:
+    """Per block of a command's output: the facts that neither another of its blocks nor an earlier message holds, and how many of them were used before another result gave them again."""
+    blocks = messages.filter("kind = 'result' and tool = 'bash'").select("session", "ord", F.explode(logs.blocks_of("text")).alias("b")).select("session", "ord", F.col("b.id").alias("block"), F.col("b.text").alias("text"))
+    each = blocks.select("session", "ord", "block", F.explode(X.facts(F.col("text"))).alias("fact"))
+    alone = each.groupBy("session", "ord", "fact").agg(F.count(F.lit(1)).alias("blocks"), F.min("block").alias("block")).filter("blocks = 1")
+    # a fact may be cut at a block's end: what earlier messages hold is then looked up by the cut fact
+    place = _numbered(messages).select("session", "ord", "n")
     text = F.when(F.col("kind") == "call", F.coalesce("args", F.lit("{}"))).otherwise(F.coalesce("text", F.lit("")))
-    held = messages.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy("ord"))).select("session", "n", "ord", "kind", F.explode(X.facts(text)).alias("fact"))
-    first = held.withColumn("first", F.row_number().over(W.partitionBy("session", "fact").orderBy("n"))).withColumn("next_n", F.lead("n").over(W.partitionBy("session", "fact").orderBy("n"))).withColumn("next_kind", F.lead("kind").over(W.partitionBy("session", "fact").orderBy("n")))
-    own = first.filter("first = 1 and kind = 'result'")
-    used = F.col("next_n").isNotNull() & (F.col("next_n") <= F.col("n") + horizon) & (F.col("next_kind") != "result")
-    return own.groupBy("session", "ord").agg(F.count(F.lit(1)).alias("new_facts"), F.count_if(used).alias("used_facts"))
+    holders = _numbered(messages).select("session", "n", "kind", F.explode(X.facts(text)).alias("fact"))
+    met = alone.join(place, ["session", "ord"]).join(holders.select("session", "fact", F.col("n").alias("h_n"), F.col("kind").alias("h_kind")), ["session", "fact"], "left")
+    later = F.when(F.col("h_n") > F.col("n"), F.struct("h_n", "h_kind"))
+    one = met.groupBy("session", "ord", "block", "fact", "n").agg(F.coalesce(F.max(F.col("h_n") < F.col("n")), F.lit(False)).alias("before"), F.min(later).alias("next"))
+    new = one.filter(~F.col("before")).withColumns({"next_n": F.col("next.h_n"), "next_kind": F.col("next.h_kind")})
+    counts = new.groupBy("session", "ord", "block").agg(F.count(F.lit(1)).alias("own_facts"), F.count_if(_used_within(F.col("n"), horizon)).alias("used_facts"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return blocks.select("session", "ord", "block").join(counts, ["session", "ord", "block"], "left").select("session", "ord", "block", zero("own_facts"), zero("used_facts"))
+
+
+def sole_sources(messages: DataFrame, horizon: int = 120, least: int = 150) -> DataFrame:
+    """Per checkpoint and result before the request before it, of so many tokens: the facts no other message up to the checkpoint holds, and how many of them were used before another result gave them again."""
+    numbered = _numbered(messages)
+    at = W.partitionBy("session").orderBy("n")
+    users = numbered.filter("kind = 'user'").select("session", "n", "ord").withColumns({"i": F.row_number().over(at) - 3, "previous": F.lag("n").over(at)}).filter("i >= 0")
+    step = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(W.partitionBy("session")) / 8))
+    points = users.withColumn("step", step).filter("i % step = 0").select("session", F.col("ord").alias("checkpoint"), F.col("n").alias("c_n"), "previous")  # 8 a session at most
+    tok = X.tokens(F.coalesce("text", F.lit("")))
+    old = numbered.filter((F.col("kind") == "result") & (tok >= least)).select("session", "n", "ord", tok.alias("tokens")).join(points, "session").filter("n < previous")
+    # the only holder is the first one, and the next one comes after the checkpoint
+    own = _first_held(messages).filter("kind = 'result'").select("session", "n", "next_n", "next_kind")
+    sole = F.col("first_n").isNotNull() & (F.col("next_n").isNull() | (F.col("next_n") > F.col("c_n")))
+    met = old.join(own.withColumn("first_n", F.col("n")), ["session", "n"], "left")
+    return met.groupBy("session", "checkpoint", "ord", "tokens").agg(F.count_if(sole).alias("sole_facts"), F.count_if(sole & _used_within(F.col("c_n"), horizon)).alias("used_facts"))

@@ -290,10 +290,20 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-39, 77, 78, 79, 135."""
+    """OP-39, 77, 135."""
     return analytics.facts_used(synth.sessions(spark, sf_dir))
 
 
+def block_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-78."""
+    return analytics.block_facts(synth.sessions(spark, sf_dir))
+
+
+def sole_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-79."""
+    return analytics.sole_sources(synth.sessions(spark, sf_dir))
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-123, 125 over a log made from the events."""
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -351,6 +361,6 @@ QUERIES = {
     "inv108_output_profile": output_profile, "inv108_long_exclusions": long_exclusions, "inv108_repeated_lines": repeated_lines, "inv109_read_inventory": read_inventory, "inv110_classifier_coverage": classifier_coverage,
     "inv111_confusion": confusion_matrix, "inv112_metric_summary": metric_summary, "inv113_majority_votes": majority_votes, "inv114_percentiles": percentiles, "inv115_floor_quantiles": floor_quantiles,
     "inv119_threshold_sweep": threshold_sweep, "inv120_regret_cuts": regret_cuts, "inv123_telemetry": telemetry, "inv126_notable_lines": notable_lines, "inv127_recall_reads": recall_reads,
-    "inv138_folded_reads": folded_reads, "inv140_sieve_plan": sieve_plan, "inv142_recall_documents": recall_documents, "inv144_policies": policies, "inv146_hybrid_policies": hybrid_policies, "inv77_facts_used": facts_used,
+    "inv138_folded_reads": folded_reads, "inv140_sieve_plan": sieve_plan, "inv142_recall_documents": recall_documents, "inv144_policies": policies, "inv146_hybrid_policies": hybrid_policies, "inv77_facts_used": facts_used, "inv78_block_facts": block_facts, "inv79_sole_sources": sole_sources,
     "inv17_exact_replay": exact_replay, "inv162_shadow_replay": shadow_replay, "inv95_log_chunks": log_chunks, "inv100_trimmed_outputs": trimmed_outputs,
 }
