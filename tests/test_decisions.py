@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark import settings
-from trailmark.operators import judge, metrics, policy, recall, sieve
+from trailmark.operators import analytics, judge, metrics, policy, recall, sieve
 from trailmark.workbench import Workbench
 
 READING = "choice string, probabilities map<string,double>, confidence double, signals map<string,double>, excerpted boolean, durable boolean, superseded boolean, exact_repeat boolean"
@@ -53,6 +53,18 @@ def test_relations_by_tools(spark):
     }
 
 
+def test_would_save_counts_the_latest_decision_of_a_call(spark):
+    rows = [("s", "a", 1, "DROP", 900), ("s", "a", 2, "KEEP", 900), ("s", "b", 1, "DROP", 140), ("s", "c", 3, "TRUNCATE", 400), ("s", "d", 1, "TRUNCATE", 100), ("s", "e", 1, "DROP", 30)]
+    got = analytics.would_save(spark.createDataFrame(rows, "session string, call_id string, at int, decision string, tokens int")).collect()
+    assert [tuple(r) for r in got] == [("s", 5, 2, 2, 100 + 250)]
+
+
+def test_misjudgements_hold_what_is_not_critical(spark):
+    rows = [("a", "KEEP", ["KEEP"], True, "DROP", 1, 1), ("b", "KEEP", ["KEEP"], False, "TRUNCATE", 1, 1), ("b", "KEEP", ["KEEP"], False, "TRUNCATE", 1, 1), ("c", "DROP", ["DROP", "KEEP"], False, "KEEP", 1, 1)]
+    got = metrics.misjudgements(spark.createDataFrame(rows, EVAL).withColumn("category", F.lit("x")), ["category"]).collect()
+    assert sorted(tuple(r) for r in got) == [("x", "a", "KEEP", "DROP", True, 1), ("x", "b", "KEEP", "TRUNCATE", False, 2)]
+
+
 EVAL = "key string, truth string, acceptable array<string>, critical boolean, pred string, tokens int, truncated_tokens int"
 
 

@@ -121,6 +121,20 @@ def telemetry(log: DataFrame) -> DataFrame:
     )
 
 
+def would_save(decisions: DataFrame) -> DataFrame:
+    """Per session: the latest decisions of its calls, and tokens that dropping and truncating by them would save. decisions: session, call_id, at, decision, tokens."""
+    newest = decisions.groupBy("session", "call_id").agg(F.max_by(F.struct("decision", "tokens"), "at").alias("d")).select("session", "d.*")
+    saved = F.when(F.col("decision") == "DROP", F.greatest(F.lit(0), F.col("tokens") - 40)).when(F.col("decision") == "TRUNCATE", F.greatest(F.lit(0), F.col("tokens") - 150)).otherwise(0)
+    return newest.groupBy("session").agg(F.count(F.lit(1)).alias("calls"), _n(F.col("decision") == "DROP", "drops"), _n(F.col("decision") == "TRUNCATE", "truncations"), F.sum(saved).cast("bigint").alias("would_save"))
+
+
+def no_longer(messages: DataFrame) -> DataFrame:
+    """Commands that only the earlier classifier knew: command, n, old_kind, reason."""
+    old, new = shell.old_kind(F.coalesce("command", F.lit(""))), shell.kind_of(F.coalesce("command", F.lit("")))
+    found = results(messages).filter("tool = 'bash'").groupBy("command").agg(F.count(F.lit(1)).alias("n")).withColumns({"old_kind": old, "kind": new})
+    return found.filter("old_kind is not null and kind is null").select("command", "n", "old_kind", shell.no_longer_reason(F.col("command")).alias("reason"))
+
+
 def changed_diffs(messages: DataFrame, contexts: tuple[int, ...] = (0, 3, 6)) -> DataFrame:
     """Per context size: reads that changed since the previous read of the path, their tokens, and what a clearly smaller diff would save."""
     @F.pandas_udf(T.ArrayType(T.LongType()))

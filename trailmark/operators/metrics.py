@@ -49,6 +49,12 @@ def summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def misjudgements(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Predictions that are not acceptable, by key, truth, prediction and whether a critical row was dropped: n. by: the groups, as category."""
+    wrong = rows.filter(~F.array_contains("acceptable", F.col("pred")))
+    return wrong.groupBy(*by, "key", "truth", "pred", (F.col("critical") & (F.col("pred") == "DROP")).alias("critical_drop")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def majority(votes: DataFrame, by: list[str], vote: str = "pred", order: tuple = SAFETY) -> DataFrame:
     """The most frequent vote; ties go to the earliest in order."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(vote))

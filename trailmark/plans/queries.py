@@ -142,7 +142,7 @@ def classifier_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-40, 41, 42, 46."""
+    """OP-40, 41, 42."""
     c = X.arg(F.col("args"), "command")
     found = _results(spark, sf_dir).filter("tool = 'bash'").groupBy(c.alias("command")).agg(F.count(F.lit(1)).alias("n"))
     return found.select("command", "n", shell.kind_of("command").alias("kind"), shell.old_kind(F.col("command")).alias("old_kind"))
@@ -208,7 +208,7 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-112, 121."""
+    """OP-112."""
     found = metrics.summary(eval_rows(spark, sf_dir), ["category"])
     rates = [F.round(c, 9).alias(c) for c in found.columns if c not in ("category", "n", "critical_false_drops")]
     return found.select("category", "n", *rates, F.array_join("critical_false_drops", ",").alias("critical_false_drops"))
@@ -305,13 +305,31 @@ def sole_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-123, 125 over a log made from the events."""
+    """OP-123 over a log made from the events."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     kind = F.when(F.col("event_type") == "click", "seen").when(F.col("event_type") == "error", "sieve").when(F.col("event_type") == "view", "recall").otherwise("label")
     log = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), kind.alias("kind"), (F.col("event_id") % 2 == 0).alias("acted"), (k * 10).alias("from"), (F.col("event_id") % 400).alias("to"))
     return analytics.telemetry(log)
 
 
+def would_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-125 over decisions made from the events."""
+    i = F.col("event_id")
+    decision = F.when(i % 3 == 0, "DROP").when(i % 3 == 1, "TRUNCATE").otherwise("KEEP")
+    made = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), (i % 7).cast("string").alias("call_id"), i.alias("at"), decision.alias("decision"), (i % 400).alias("tokens"))
+    return analytics.would_save(made)
+
+
+def misjudgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-121."""
+    return metrics.misjudgements(eval_rows(spark, sf_dir), ["category"])
+
+
+def no_longer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-46."""
+    return analytics.no_longer(synth.sessions(spark, sf_dir))
+
+
 def changed_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-106."""
     return analytics.changed_diffs(synth.sessions(spark, sf_dir))
@@ -360,7 +378,7 @@ QUERIES = {
     "inv104_seen_savings": seen_savings, "inv105_reread_census": reread_census, "inv106_changed_diffs": changed_diffs, "inv107_session_census": session_census, "inv107_role_tokens": role_tokens,
     "inv108_output_profile": output_profile, "inv108_long_exclusions": long_exclusions, "inv108_repeated_lines": repeated_lines, "inv109_read_inventory": read_inventory, "inv110_classifier_coverage": classifier_coverage,
     "inv111_confusion": confusion_matrix, "inv112_metric_summary": metric_summary, "inv113_majority_votes": majority_votes, "inv114_percentiles": percentiles, "inv115_floor_quantiles": floor_quantiles,
-    "inv119_threshold_sweep": threshold_sweep, "inv120_regret_cuts": regret_cuts, "inv123_telemetry": telemetry, "inv126_notable_lines": notable_lines, "inv127_recall_reads": recall_reads,
+    "inv119_threshold_sweep": threshold_sweep, "inv120_regret_cuts": regret_cuts, "inv123_telemetry": telemetry, "inv125_would_save": would_save, "inv121_misjudgements": misjudgements, "inv46_no_longer": no_longer, "inv126_notable_lines": notable_lines, "inv127_recall_reads": recall_reads,
     "inv138_folded_reads": folded_reads, "inv140_sieve_plan": sieve_plan, "inv142_recall_documents": recall_documents, "inv144_policies": policies, "inv146_hybrid_policies": hybrid_policies, "inv77_facts_used": facts_used, "inv78_block_facts": block_facts, "inv79_sole_sources": sole_sources,
     "inv17_exact_replay": exact_replay, "inv162_shadow_replay": shadow_replay, "inv95_log_chunks": log_chunks, "inv100_trimmed_outputs": trimmed_outputs,
 }
