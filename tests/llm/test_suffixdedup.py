@@ -42,10 +42,10 @@ def corpus(seed, n=60, alphabet="ab cé\n"):
     return [*texts, texts[0], texts[3], texts[3], "", None, "a" * 300, "ab" * 100, "x" * 39, "y" * 40, "y" * 40]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 10_000), (2, 10_000), (3, 3), (4, 0)])
-def test_matches_brute_force(make_docs, seed, hot):
+@pytest.mark.parametrize("seed,in_range", [(1, 10_000), (2, 100), (3, 20), (4, 7)])
+def test_matches_brute_force(make_docs, seed, in_range):
     texts = corpus(seed)
-    got = result(sd.removed(make_docs(texts), length=40, gram=16, hot=hot))
+    got = result(sd.removed(make_docs(texts), length=40, gram=16, in_range=in_range))
     assert got == brute(texts, 40)
 
 
@@ -103,9 +103,54 @@ def test_long_texts_are_read_in_parts(make_docs, monkeypatch):
         assert any(s <= a <= s + 24 for a in found)
 
 
-@pytest.mark.parametrize("hot", [0, 2])
-def test_periodic_texts(make_docs, hot):
+@pytest.mark.parametrize("in_range", [5, 10_000])
+def test_periodic_texts(make_docs, in_range):
     rng = random.Random(11)
     word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
     texts = [word(20) + "spam eggs" * rng.randint(1, 30) + word(20) + ("spam eggs" * 9 if i % 3 else "") for i in range(12)] + ["spam eggs" * 12, word(60), "xy" * 60 + word(9) + "xy" * 30]
-    assert result(sd.removed(make_docs(texts), length=40, gram=16, hot=hot)) == brute(texts, 40)
+    assert result(sd.removed(make_docs(texts), length=40, gram=16, in_range=in_range)) == brute(texts, 40)
+
+
+@pytest.mark.parametrize("n", [20, 150])
+def test_one_anchor_over_many_ranges(make_docs, n):
+    """A passage in every text, between words that some texts share: its anchor's strings fill many ranges."""
+    rng = random.Random(n)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    passage, starts, ends = word(38), [word(30) for _ in range(5)], [word(30) for _ in range(5)]
+    texts = [word(rng.randint(0, 9)) + rng.choice(starts)[rng.randint(0, 25) :] + passage + rng.choice(ends)[: rng.randint(0, 25)] + word(rng.randint(0, 9)) for _ in range(n)]
+    assert result(sd.removed(make_docs(texts), length=40, gram=16, in_range=9)) == brute(texts, 40)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_nodes_over_ranges_are_those_of_one_order(seed):
+    """Classes of every depth, as the ranges know them, against common prefixes of all pairs."""
+    import pandas as pd
+
+    rng = random.Random(seed)
+    strings = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 7))) for _ in range(40)})
+    cuts = sorted(rng.sample(range(1, len(strings)), min(5, len(strings) - 1)))
+    held = []
+    for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(strings)])):
+        own = strings[a:b]
+        shared = np.array([-1] + [sd.common(x, y) for x, y in zip(own, own[1:])])
+        depth, first, parent, leaf = sd.nodes(shared)
+        for i, s in enumerate(own):
+            path, at = [], leaf[i]
+            while at >= 0:
+                path.append((depth[at], a + first[at]))
+                at = parent[at]
+            path.sort()
+            held.append({"h": 1, "side": 0, "id": a + i, "part": part, "size": len(s), "n": 1, "before": sd.common(own[0], s), "after": sd.common(own[-1], s), "depths": [d for d, _ in path], "lows": [x for _, x in path], "first": i == 0, "last": i == len(own) - 1, "s": s})
+    borders = {r[2]: r for r in sd.resolve(pd.DataFrame([r for r in held if r["first"] or r["last"]])).values.tolist()}
+    for r in held:
+        depths, lows = sd.completed(r["depths"], r["lows"], r["id"], r["before"], r["after"], borders[r["part"]])
+        others = [x for x in strings if x != r["s"]]
+        assert depths == sorted({sd.common(r["s"], x) for x in others})
+        assert lows == [min(i for i, x in enumerate(strings) if x[:d] == r["s"][:d] and len(x) >= d) for d in depths]
+
+
+def test_runs_of_few_words_stay(make_docs):
+    passage = " ".join(f"w{i}" for i in range(30))
+    docs = make_docs([passage + " one two", "three " + passage])
+    assert [r[1] > 0 for r in result(sd.removed(docs, length=40, gram=16, least_words=30))] == [True, True]
+    assert [r[1] for r in result(sd.removed(docs, length=40, gram=16, least_words=33))] == [0, 0]

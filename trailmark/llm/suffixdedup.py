@@ -7,43 +7,48 @@ hash: a choice of the window's content alone, so that equal windows have equal
 anchors at equal places. Anchors that occur once are dropped; about one
 position in 137 is an anchor at all.
 
-The occurrences of one anchor meet, each with the bytes to its left and right
-that its windows can reach. There the suffixes that start at the anchors are
-sorted by the deep-shallow method: multikey quicksort down to a shallow depth,
-then a blind trie for every group that is still equal; likewise the reversed
-left contexts. Common prefixes of neighbours in the two orders tell which
-windows occur elsewhere, for every split of the length between left and right.
-Only bytes are compared there, so a collision of hashes removes nothing.
-
-Equal texts are read once, and are wholly repeated by themselves. An anchor
-with more than ``hot`` occurrences is not brought together: its windows are
-counted by 128-bit hashes, which partial sums reduce before they move; what
-repeats inside one text is found there.
+A window around an anchor is r bytes to its left and the rest to its right. So
+the suffixes that start behind the anchors, and the reversed texts before them,
+are sorted by the deep-shallow method: multikey quicksort down to a shallow
+depth, then a blind trie for every group that is still equal. Equal strings are
+merged before they move and the rest is dealt by range, so that an anchor with
+any number of occurrences is many tasks. The common prefixes of neighbours give
+the inner nodes of the two sorted orders; what parts ``resolve`` carries over
+the borders of the ranges. Two occurrences share a window where they share a
+node on the left and one on the right whose depths add up to it, so every
+occurrence has a few pairs of nodes instead of its windows, and the pairs that
+others have too are the repeats.
+
+Equal texts are read once, and are wholly repeated by themselves. Strings are
+told apart by the hash of their anchor and one of their own, 64 bits each.
 
 Null text counts as empty. Rows with null or equal ids are separate rows, equal
 rows too. Texts shorter than ``length`` stay whole. An empty table gives an
-empty result.
+empty result. Very long texts are read in overlapping parts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches, written
-from .textcore import BYTE_KEY, U64, Slice, mix, powers, prefix_hash, signed, slices
+from .frames import WORD, small_batches, written
+from .textcore import BYTE_KEY, U64, Slice, mix, powers, prefix_hash, signed, slices, span_hash
 
-LENGTH, GRAM, HOT = 400, 128, 1000
+LENGTH, GRAM = 400, 128
 #: Multikey quicksort compares so many bytes, eight at a time; smaller parts are sorted by insertion.
 SHALLOW, SMALL = 64, 12
-#: Rows of one anchor block in a task.
-BLOCK = 4096
-_SECOND_KEY = mix(BYTE_KEY) | U64(1)
+#: Strings of a range, which a task sorts at once, and strings that a task merges before they move.
+RANGE, HELD = 1 << 15, 1 << 16
+_WORD = re.compile(WORD.encode())
 _PLACE = 24  # bits of a position; longer texts are read in overlapping parts
 
 
@@ -229,173 +234,294 @@ def deep_shallow(strings: list[bytes]) -> list[int]:
     return out
 
 
-# ---------------------------------------------------------------- repeated windows
+# ---------------------------------------------------------------- strings beside the anchors
 
 
-def _ranked(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The strings' order within groups, and the common prefix of each with its predecessor (-1: new group)."""
-    keyed = [g.to_bytes(8, "big") + s for g, s in zip(group.tolist(), strings, strict=True)]
-    order = np.array(deep_shallow(keyed), np.int64)
-    shared = np.full(len(order), -1, np.int64)
-    run = order.tolist()
-    for i in range(1, len(run)):
-        if group[run[i]] == group[run[i - 1]]:
-            shared[i] = common(strings[run[i - 1]], strings[run[i]])
-    return order, shared
+def contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Two kinds of rows from texts (k1, k2, text, spots).
 
-
-def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], count: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """[i, r]: whether the window with r bytes of left[i] and length - r of right[i] occurs elsewhere in its group.
-
-    left: reversed. count: occurrences that each (left, right) stands for.
+    Places: h, k1, k2, pos of every anchor with the numbers of the reversed
+    bytes before it (lid) and of the bytes behind it (rid) that its windows can
+    reach. Strings (side 0: before, 1: behind): h, side, id, s, and n, how often;
+    each once for about HELD of them in a task, so that a frequent one is merged here.
     """
-    n, span = len(group), length - gram + 1
-    out = np.zeros((n, span), bool)
-    by_right, right_shared = _ranked(right, group)
-    by_left, left_shared = _ranked(left, group)
-    left_size, right_size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    inside = (np.arange(span)[None] <= left_size[:, None]) & (length - np.arange(span)[None] <= right_size[:, None])
-    out[count > 1] = inside[count > 1]
-    # texts alike as far as the contexts reach need no split-by-split look
-    sizes = np.bincount(group)
-    todo = np.flatnonzero((sizes[group] > 1) & inside.any(axis=1))
-    if not len(todo):
-        return out
-    id_right, id_left = np.empty(n, np.int64), np.empty(n, np.int64)
-    for r in range(span):
-        own = todo[inside[todo, r]]
-        if len(own) < 2:
-            continue
-        id_right[by_right] = np.cumsum(right_shared < length - r)
-        id_left[by_left] = np.cumsum(left_shared < r)
-        pair = id_right[own] * (n + 1) + id_left[own]
-        order = np.argsort(pair, kind="stable")
-        ranked = pair[order]
-        equal = ranked[1:] == ranked[:-1]
-        twin = np.zeros(len(own), bool)
-        twin[1:] |= equal
-        twin[:-1] |= equal
-        out[own[order[twin]], r] = True
-    return out
+    names = ["h", "k1", "k2", "pos", "lid", "rid", "side", "id", "s", "n"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    reach = length - gram
+    held: dict[tuple[int, int, int], list] = {}
+
+    def strings() -> pa.RecordBatch:
+        rows = [(h, side, i, s, n) for (h, side, i), (s, n) in held.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        made = {"h": columns[0], "side": columns[1], "id": columns[2], "s": columns[3], "n": columns[4]}
+        held.clear()
+        return pa.record_batch([pa.array(made[c], t) if c in made else pa.nulls(len(rows), t) for c, t in zip(names, types, strict=True)], names)
 
+    for batch in batches:
+        lists, k1, k2 = batch.column("spots"), batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        flat = lists.flatten()
+        pos, h = flat.field("pos").to_numpy().astype(np.int64), flat.field("h").to_numpy()
+        for piece in slices(batch.column("text")):
+            own = slice(*np.searchsorted(row, [piece.lo, piece.hi]))
+            of = row[own] - piece.lo
+            at = piece.starts[of] + pos[own]
+            prefix = prefix_hash(BYTE_KEY[piece.data])
+            bounds = ((np.maximum(at - reach, piece.starts[of]), at), (at + gram, np.minimum(at + length, piece.ends[of])))
+            ids = [signed(span_hash(prefix, lo, hi)) for lo, hi in bounds]
+            none = [pa.nulls(len(at), t) for t in types[6:]]
+            yield pa.record_batch([pa.array(h[own]), pa.array(k1[row[own]]), pa.array(k2[row[own]]), pa.array(pos[own].astype(np.int32)), pa.array(ids[0]), pa.array(ids[1]), *none], names)
+            data = piece.data.tobytes()
+            for side, (lo, hi) in enumerate(bounds):
+                for key_h, key_id, a, b in zip(h[own].tolist(), ids[side].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    met = held.get((key_h, side, key_id))
+                    if met is None:
+                        held[key_h, side, key_id] = [data[a:b][::-1] if side == 0 else data[a:b], 1]
+                    else:
+                        met[1] += 1
+            if len(held) > HELD:
+                yield strings()
+    yield strings()
+
+
+def nodes(shared: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The inner nodes of a sorted order: depth, first string and parent (-1: none) of each; and each string's node.
+
+    shared: common prefix of each string with its predecessor, -1 at the start of a group.
+    """
+    depth: list[int] = []
+    first: list[int] = []
+    parent: list[int] = []
+    leaf: list[int] = []
+    stack: list[int] = []
+    now = -1
+    for i, d in enumerate([*shared[1:].tolist(), -1] if len(shared) else []):
+        held, low, last = stack[-1] if stack else -1, i, -1
+        while stack and depth[stack[-1]] > d:
+            top = stack.pop()
+            if last >= 0:
+                parent[last] = top
+            low, last = first[top], top
+        if d >= 0 and (not stack or depth[stack[-1]] < d):
+            depth.append(d)
+            first.append(low)
+            parent.append(-1)
+            stack.append(len(depth) - 1)
+        if last >= 0 and d >= 0:
+            parent[last] = stack[-1]
+        leaf.append(stack[-1] if d >= now and d >= 0 else held if now >= 0 else -1)
+        now = d
+    return depth, first, parent, leaf
+
+
+def ragged(row: np.ndarray, value: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """Lists of the values of rows 0 to n - 1; row ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(value, kind))
+
+
+PATHS = "h bigint, side int, id bigint, part int, size int, n bigint, before int, after int, depths array<int>, lows array<bigint>, first boolean, last boolean, s binary"
+
+
+def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of one range (h, side, id, s, n) in order, each once, with the nodes above it.
+
+    depths, lows: a node's depth and the number of its first string in the range,
+    from the shallowest on. before, after: the prefix shared with the first and
+    the last string of the range, -1 in another group. These two carry their
+    bytes, for the neighbouring ranges.
+    """
+    from pyspark import TaskContext
 
-def spans_of(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, and covered bytes from lo to hi relative to the anchor, for every run of repeated windows."""
-    padded = np.pad(found.astype(np.int8), ((0, 0), (1, 1)))
-    edge = np.diff(padded, axis=1)
-    row, first = np.nonzero(edge == 1)
-    _, after = np.nonzero(edge == -1)
-    return row, -(after - 1), length - first
-
-
-def _covered(block: pa.Table, length: int, gram: int) -> pa.RecordBatch:
-    """k1, k2, lo, hi of what is repeated among the occurrences of whole anchor groups."""
-    h = block.column("h").to_numpy()
-    lefts, rights = block.column("left").to_pylist(), block.column("right").to_pylist()
-    seen: dict[tuple, int] = {}
-    member = np.array([seen.setdefault(key, len(seen)) for key in zip(h.tolist(), lefts, rights, strict=True)], np.int64)
-    distinct = list(seen)
-    group = np.unique(np.array([d[0] for d in distinct], np.int64), return_inverse=True)[1]
-    found = repeated_windows(group, [d[1] for d in distinct], [d[2] for d in distinct], np.bincount(member, minlength=len(distinct)), length, gram)
-    row, lo, hi = spans_of(found, length)
-    # every occurrence gets the spans of its contexts
-    first = np.searchsorted(row, np.arange(len(distinct) + 1))
-    many = np.diff(first)[member]
-    which = np.repeat(np.arange(len(member)), many)
-    pick = np.repeat(first[member] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
-    pos = block.column("pos").to_numpy()[which]
-    return pa.record_batch(
-        [pa.array(block.column("k1").to_numpy()[which]), pa.array(block.column("k2").to_numpy()[which]), pa.array((pos + lo[pick]).astype(np.int32)), pa.array((pos + hi[pick]).astype(np.int32))],
-        ["k1", "k2", "lo", "hi"],
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
+        return
+    table = pa.Table.from_batches(held)
+    part = TaskContext.get().partitionId()
+    h, side, ids, s, n = (table.column(c).to_pylist() for c in ("h", "side", "id", "s", "n"))
+    merged: dict[tuple[int, int, int], list[int]] = {}
+    for i, key in enumerate(zip(h, side, ids, strict=True)):
+        met = merged.setdefault(key, [i, 0])
+        met[1] += n[i]
+    found = list(merged.values())
+    keyed = [(h[i] + (1 << 63)).to_bytes(8, "big") + bytes([side[i]]) + s[i] for i, _ in found]
+    order = deep_shallow(keyed)
+    head = 9
+    shared = np.array([-1, *(common(keyed[a], keyed[b]) - head for a, b in pairwise(order))], np.int64)
+    shared = np.maximum(shared, -1)
+    rows = [found[i][0] for i in order]
+    m = len(rows)
+    depth, first, parent, leaf = (np.array(x, np.int64) for x in nodes(shared))
+    number = np.array([ids[i] for i in rows], np.int64)
+    of, at = np.arange(m), leaf.copy()
+    climbed: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(of := of[at >= 0]):
+        at = at[at >= 0]
+        climbed.append((of, at))
+        at = parent[at]
+    of = np.concatenate([x for x, _ in climbed] or [np.zeros(0, np.int64)])
+    at = np.concatenate([x for _, x in climbed] or [np.zeros(0, np.int64)])
+    by = np.lexsort((depth[at] if len(at) else at, of))
+    of, at = of[by], at[by]
+    size = np.array([len(s[i]) for i in rows], np.int64)
+    before = np.minimum.accumulate(np.concatenate([size[:1], shared[1:]]))
+    after = np.minimum.accumulate(np.concatenate([size[-1:], shared[:0:-1]]))[::-1]
+    ends = [i in (0, m - 1) for i in range(m)]
+    yield pa.record_batch(
+        [
+            pa.array([h[i] for i in rows], pa.int64()), pa.array([side[i] for i in rows], pa.int32()), pa.array(number), pa.array(np.full(m, part, np.int32)), pa.array(size.astype(np.int32)),
+            pa.array([found[i][1] for i in order], pa.int64()), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)),
+            ragged(of, depth[at].astype(np.int32) if len(at) else np.zeros(0, np.int32), m, pa.int32()), ragged(of, number[first[at]] if len(at) else np.zeros(0, np.int64), m, pa.int64()),
+            pa.array([i == 0 for i in range(m)]), pa.array([i == m - 1 for i in range(m)]), pa.array([s[i] if e else None for i, e in zip(rows, ends, strict=True)], pa.binary()),
+        ],
+        [x.split()[0] for x in PATHS.split(", ")],
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Whole groups of h (which arrive together), about so many rows at a time."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _class(depths: list[int], lows: list[int], own: int, d: int) -> int:
+    """The first string that shares d bytes with a string: its least node of depth d or more, else itself."""
+    return next((low for depth, low in zip(depths, lows, strict=True) if depth >= d), own)
+
+
+BORDERS = "h bigint, side int, part int, cut int, t_depths array<int>, t_lows array<bigint>, t_own bigint, x_left array<int>, x_right array<int>"
+
+
+def resolve(group: pd.DataFrame) -> pd.DataFrame:
+    """What the ranges that share a group (h, side) must know of each other.
+
+    group: the first and last rows of the ranges. For every range: cut, the
+    prefix that its first string shares with the string before it (-1: none);
+    t_depths, t_lows, t_own: the nodes of that string, whose first strings hold
+    up to the cut; x_left, x_right: the depths at which the first string parts
+    from strings before it, and the last string from those behind it.
+    """
+    group = group.sort_values(["part", "last"])
+    by_part = {}
+    for r in group.to_dict("records"):
+        ends = by_part.setdefault(r["part"], {})
+        if r["first"]:
+            ends["first"] = r
+        if r["last"]:
+            ends["last"] = r
+    parts = sorted(by_part)
+    out = {p: [int(group["h"].iloc[0]), int(group["side"].iloc[0]), p, -1, [], [], 0, [], []] for p in parts}
+    cuts = [common(by_part[a]["last"]["s"], by_part[b]["first"]["s"]) for a, b in pairwise(parts)]
+    # forwards: all nodes of the last string of each range so far
+    known: tuple[list[int], list[int], int, int] | None = None
+    for j, p in enumerate(parts):
+        row = out[p]
+        if known is not None:
+            depths, lows, own, size = known
+            cut = cuts[j - 1]
+            row[3:7] = [cut, depths, lows, own]
+            row[7] = sorted({min(cut, d) for d in [*depths, size]})
+        if "last" in by_part[p]:
+            last = by_part[p]["last"]
+            at, low = completed(list(last["depths"]), list(last["lows"]), last["id"], last["before"], -1, row)
+            known = (at, low, last["id"], last["size"])
+    beyond: list[int] | None = None
+    for j in range(len(parts) - 1, -1, -1):
+        p = parts[j]
+        if beyond is not None:
+            out[p][8] = sorted({min(cuts[j], d) for d in beyond})
+        if "first" in by_part[p]:
+            first = by_part[p]["first"]
+            beyond = sorted({*first["depths"], first["size"], *(min(first["after"], d) for d in out[p][8] if first["after"] >= 0)})
+    return pd.DataFrame([out[p] for p in parts], columns=[x.split()[0] for x in BORDERS.split(", ")])
+
+
+def completed(depths: list[int], lows: list[int], own: int, before: int, after: int, border: list) -> tuple[list[int], list[int]]:
+    """A string's nodes over all ranges. border: a row of BORDERS."""
+    cut, t_depths, t_lows, t_own, x_left, x_right = border[3:]
+    every = set(depths)
+    if before >= 0:
+        every |= {min(before, x) for x in x_left}
+    if after >= 0:
+        every |= {min(after, x) for x in x_right}
+    reach = min(before, cut)
+    at = sorted(every)
+    return at, [_class(t_depths, t_lows, t_own, d) if d <= reach else _class(depths, lows, own, d) for d in at]
+
+
+def whole_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, side, id, depths, lows of strings with the nodes of all ranges, and themselves where they occur more than once."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            piece = batch.slice(lo, rows)
-            held.append(piece)
-            size += piece.num_rows
-            if size >= rows:
-                whole = pa.Table.from_batches(held)
-                h = whole.column("h").to_numpy()
-                cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
-                if cut:
-                    yield whole.slice(0, cut)
-                    held = whole.slice(cut).to_batches()
-                    size = whole.num_rows - cut
-    if size:
-        yield pa.Table.from_batches(held)
+        size, n, own, cut = (batch.column(c).to_pylist() for c in ("size", "n", "id", "cut"))
+        depths, lows = batch.column("depths").to_pylist(), batch.column("lows").to_pylist()
+        spots = [i for i, c in enumerate(cut) if c is not None]
+        if spots:
+            columns = [batch.column(c).take(pa.array(spots)).to_pylist() for c in ("before", "after", "t_depths", "t_lows", "t_own", "x_left", "x_right")]
+            for i, before, after, *border in zip(spots, *columns, strict=True):
+                depths[i], lows[i] = completed(depths[i], lows[i], own[i], before, after, [0, 0, 0, cut[i], *border])
+        for i in range(batch.num_rows):
+            if n[i] > 1 and (not depths[i] or depths[i][-1] < size[i]):
+                depths[i].append(size[i])
+                lows[i].append(own[i])
+        yield pa.record_batch([batch.column("h"), batch.column("side"), batch.column("id"), pa.array(depths, pa.list_(pa.int32())), pa.array(lows, pa.list_(pa.int64()))], ["h", "side", "id", "depths", "lows"])
+
+
+def pairs(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """h, pair, lid, rid, low, high: the pairs of nodes of every context (h, lid, rid, n and both sides' nodes).
+
+    A pair holds for the windows with low to high bytes before the anchor: all
+    that share as many bytes before it and the rest behind it.
+    """
+    for batch in batches:
+        row, depth, low = [], [], []
+        for side in ("l", "r"):
+            lists = batch.column(f"{side}_depths")
+            row.append(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()))
+            depth.append(lists.flatten().to_numpy().astype(np.int64))
+            low.append(batch.column(f"{side}_lows").flatten().to_numpy())
+        new = [np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.zeros(0, bool) for r in row]
+        above = [np.where(f, -1, np.concatenate([[-1], d[:-1]])) if len(d) else d for f, d in zip(new, depth, strict=True)]
+        wide = reach + 2
+        # a node before the anchor holds from above + 1 bytes to its depth, one behind it for reach less as many
+        starts = np.unique(np.concatenate([row[0] * wide + above[0] + 1, row[1] * wide + np.maximum(reach - depth[1], 0)]))
+        of, r = starts // wide, starts % wide
+        left = np.searchsorted(row[0] * wide + depth[0], starts)
+        right = np.searchsorted(row[1] * wide + depth[1], of * wide + reach - r)
+        ok = (left < len(row[0])) & (right < len(row[1])) & (r <= reach)
+        of, r, left, right = of[ok], r[ok], left[ok], right[ok]
+        ok = (row[0][left] == of) & (row[1][right] == of) if len(of) else np.zeros(0, bool)
+        of, r, left, right = of[ok], r[ok], left[ok], right[ok]
+        high = np.minimum(depth[0][left], reach - above[1][right] - 1)
+        key = [(low[0][left], depth[0][left]), (low[1][right], depth[1][right])]
+        pair = np.zeros(len(of), np.uint64)
+        for number, d in key:
+            pair = mix(mix(pair ^ number.view(np.uint64)) + d.astype(np.uint64))
+        take = pa.array(of)
+        yield pa.record_batch([batch.column("h").take(take), pa.array(signed(pair)), batch.column("lid").take(take), batch.column("rid").take(take), batch.column("n").take(take), pa.array(r.astype(np.int32)), pa.array(high.astype(np.int32))], ["h", "pair", "lid", "rid", "n", "low", "high"])
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, kept_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept_text: bool = False, least_words: int = 0, in_range: int = RANGE) -> DataFrame:
     """Every row of docs (columns that include text) with n_bytes, spans, n_removed, n_spans and kept_sha256.
 
     spans: the maximal removed runs, as structs of from and to (exclusive).
-    kept_text: the text is what is left of it, less bytes that no longer make a
-    character. Columns of docs with the name of a result are replaced.
+    least_words: runs that touch fewer words stay. kept_text: the text is what is
+    left of it, less bytes that no longer make a character. in_range: strings
+    that one task sorts. Columns of docs with the name of a result are replaced.
     """
     raw = F.coalesce("text", F.lit(""))
     docs = small_batches(docs).drop("n_bytes", "spans", "n_removed", "n_spans", "kept_sha256", "_k1", "_k2", "_whole", "_kept")
     keyed = docs.withColumns({"_k1": keys(F.col("text"))[0], "_k2": keys(F.col("text"))[1], "n_bytes": F.octet_length(raw).cast("bigint")})
     long = keyed.filter(F.col("n_bytes") >= length).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
-    found = written(anchor_rows(long, length, gram), "suffix-anchors")
-
-    # anchors at two places at least: partial sums first, then a join that Spark splits where one is frequent
-    place = F.xxhash64("k1", "k2", "pos")
-    several = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("h", (F.col("n") > hot).alias("hot"))
-    several = written(several, "suffix-several")  # apart from its grouping, so that the join below can split a frequent anchor
-    spots = found.join(several, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("spots"))
     texts = long.groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "k1", "k2", "pos", "left", "right"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        for batch in batches:
-            out: list[tuple] = []
-            column, lists = batch.column("text"), batch.column("spots")
-            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-            for i in range(batch.num_rows):
-                text = column[i].as_py().encode()
-                for spot in lists[i].as_py():
-                    if spot["hot"]:
-                        continue
-                    pos = spot["pos"]
-                    out.append((spot["h"], k1[i], k2[i], pos, text[max(0, pos - length + gram) : pos][::-1], text[pos : pos + length]))
-                if len(out) >= 4096:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out = []
-            if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    met = texts.join(spots, ["k1", "k2"])
-    near = met.mapInArrow(contexts, "h bigint, k1 bigint, k2 bigint, pos int, left binary, right binary")
-
-    def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, BLOCK):
-            yield _covered(block, length, gram)
-
-    covered = near.repartition("h").sortWithinPartitions("h").mapInArrow(sort_blocks, "k1 bigint, k2 bigint, lo int, hi int")
-    covered = covered.unionByName(_by_hash(met, length, gram))
-    spans = covered.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("covered"))
+    spans = covered(long, texts, length, gram, in_range).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("covered"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, lists, copies = batch.column("text"), batch.column("covered"), batch.column("copies").to_pylist()
             for start in range(0, batch.num_rows, 256):
                 some = range(start, min(start + 256, batch.num_rows))
-                made = [_settled(column[i].as_py().encode(), copies[i], lists[i].as_py(), kept_text) for i in some]
+                made = [_settled(column[i].as_py().encode(), copies[i], lists[i].as_py(), kept_text, least_words) for i in some]
                 columns = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.record_batch([batch.column("k1").slice(start, len(some)), batch.column("k2").slice(start, len(some)), *columns], ["_k1", "_k2", "spans", "n_removed", "kept_sha256", "_kept"])
 
     schema = "_k1 bigint, _k2 bigint, spans array<struct<from: int, to: int>>, n_removed bigint, kept_sha256 string, _kept string"
-    settled = texts.join(spans, ["k1", "k2"], "left").mapInArrow(settle, schema)
+    settled = texts.join(spans, ["k1", "k2"], "left").filter("copies > 1 or covered is not null").mapInArrow(settle, schema)
     settled = settled.filter("n_removed > 0")
     whole = F.sha2(raw.cast("binary"), 256)
     columns = [c for c in docs.columns if c != "text"]
@@ -412,71 +538,53 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     return joined.select(*columns, *text, "n_bytes", "spans", "n_removed", "n_spans", "kept_sha256")
 
 
-def _settled(text: bytes, copies: int, covered: list[dict] | None, kept_text: bool) -> tuple:
+def covered(long: DataFrame, texts: DataFrame, length: int, gram: int, in_range: int) -> DataFrame:
+    """k1, k2, lo, hi: the bytes of texts that repeated windows cover around each anchor."""
+    reach = length - gram
+    found = written(anchor_rows(long, length, gram), "suffix-anchors")
+    # anchors at two places at least: partial sums first, then a join that Spark splits where one is frequent
+    place = F.xxhash64("k1", "k2", "pos")
+    several = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h")
+    several = written(several, "suffix-several")  # apart from its grouping, so that the join below can split a frequent anchor
+    spots = found.join(several, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "h")).alias("spots"))
+    met = texts.join(spots, ["k1", "k2"])
+    kinds = "h bigint, k1 bigint, k2 bigint, pos int, lid bigint, rid bigint, side int, id bigint, s binary, n bigint"
+    near = written(met.mapInArrow(lambda batches: contexts(batches, length, gram), kinds), "suffix-contexts")
+    places = near.filter("side is null").select("h", "k1", "k2", "pos", "lid", "rid")
+    strings = near.filter("side is not null").select("h", "side", "id", "s", "n")
+
+    ranges = max(1, -(-strings.count() // in_range))
+    above = written(strings.repartitionByRange(ranges, "h", "side", "s").mapInArrow(paths, PATHS), "suffix-paths")
+    # two rows of each range meet by their group: as many as there are ranges in it
+    ends = above.filter(F.col("s").isNotNull())
+    borders = written(ends.groupBy("h", "side").applyInPandas(resolve, BORDERS), "suffix-borders")
+    every = above.drop("s", "first", "last").join(borders, ["h", "side", "part"], "left").mapInArrow(whole_paths, "h bigint, side int, id bigint, depths array<int>, lows array<bigint>")
+    every = written(every.filter(F.size("depths") > 0), "suffix-nodes")
+
+    met = written(places.groupBy("h", "lid", "rid").agg(F.count(F.lit(1)).alias("n")), "suffix-pairs")
+    sides = [every.filter(F.col("side") == k).select("h", F.col("id").alias(i), F.col("depths").alias(f"{p}_depths"), F.col("lows").alias(f"{p}_lows")) for k, i, p in ((0, "lid", "l"), (1, "rid", "r"))]
+    deep = F.element_at("l_depths", -1) + F.element_at("r_depths", -1) >= reach
+    both = met.join(sides[0], ["h", "lid"]).join(sides[1], ["h", "rid"]).filter(deep)
+    held = written(both.mapInArrow(lambda batches: pairs(batches, reach), "h bigint, pair bigint, lid bigint, rid bigint, n bigint, low int, high int"), "suffix-held")
+    twice = written(held.groupBy("h", "pair").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "pair"), "suffix-twice")
+    # all windows of an anchor share it, so what they cover is one run
+    runs = held.join(twice, ["h", "pair"]).groupBy("h", "lid", "rid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    runs = written(runs, "suffix-runs")
+    return places.join(runs, ["h", "lid", "rid"]).select("k1", "k2", (F.col("pos") - F.col("high")).alias("lo"), (F.col("pos") - F.col("low") + length).alias("hi"))
+
+
+def _settled(text: bytes, copies: int, covered: list[dict] | None, kept_text: bool, least_words: int) -> tuple:
     merged: list[list[int]] = []
     for c in [{"lo": 0, "hi": len(text)}] if copies > 1 else covered or []:
         if merged and c["lo"] <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], c["hi"])
         else:
             merged.append([c["lo"], c["hi"]])
+    if least_words:
+        merged = [m for m in merged if sum(1 for _ in _WORD.finditer(text, *m)) >= least_words]
     at, left = 0, []
     for lo, hi in merged:
         left.append(text[at:lo])
         at = hi
     kept = b"".join([*left, text[at:]])
     return [{"from": a, "to": b} for a, b in merged], len(text) - len(kept), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if kept_text else None
-
-
-def _by_hash(met: DataFrame, length: int, gram: int) -> DataFrame:
-    """k1, k2, lo, hi of the repeated windows whose anchors are frequent, each window by itself.
-
-    met: k1, k2, text, spots. Equal windows have equal anchors, so a window is
-    looked at with its own anchor only. What repeats inside one text is known
-    there: it leaves the text as spans, and one row of each window for others to
-    meet. Only windows that are single in their text need an answer.
-    """
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, lists = batch.column("text"), batch.column("spots")
-            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-            for i in range(batch.num_rows):
-                at = np.array([s["pos"] for s in lists[i].as_py() if s["hot"]], np.int64)
-                if not len(at):
-                    continue
-                data = np.frombuffer(column[i].as_py().encode(), np.uint8)
-                hot = np.zeros(len(data), bool)
-                hot[at] = True
-                lo = np.concatenate([offset + np.flatnonzero(hot[offset + minimizers(part, length, gram)[0]]) for offset, part in _overlapping(data, length)])
-                both = []
-                for keys_ in (BYTE_KEY, _SECOND_KEY):
-                    prefix = prefix_hash(keys_[data])
-                    both.append(signed(mix((prefix[lo + length] - prefix[lo]) * powers(len(prefix))[1][lo])))
-                _, first, inverse, count = np.unique(both[0], return_index=True, return_inverse=True, return_counts=True)
-                again = np.append(count[inverse] > 1, False)
-                steps = np.flatnonzero(np.diff(lo) > 1)
-                again_at = np.zeros(len(lo) + len(steps) + 1, bool)  # a gap between windows ends a run of them
-                place = np.arange(len(lo)) + np.searchsorted(steps, np.arange(len(lo)), "left")
-                again_at[place] = again[:-1]
-                edge = np.diff(again_at.astype(np.int8), prepend=0)
-                start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-                at_place = np.zeros(len(again_at), np.int64)
-                at_place[place] = lo
-                known = [at_place[start], at_place[stop] + length]
-                rows = len(first) + len(start)
-                none = pa.nulls(len(start), pa.int64())
-                yield pa.record_batch(
-                    [
-                        pa.concat_arrays([pa.array(both[0][first]), none]), pa.concat_arrays([pa.array(both[1][first]), none]), pa.array(np.full(rows, k1[i])), pa.array(np.full(rows, k2[i])),
-                        pa.array(np.concatenate([lo[first], known[0]]).astype(np.int32)), pa.array(np.concatenate([lo[first] + length, known[1]]).astype(np.int32)),
-                        pa.array(np.concatenate([count == 1, np.zeros(len(start), bool)])),
-                    ],
-                    ["w1", "w2", "k1", "k2", "lo", "hi", "single"],
-                )
-
-    some = met.filter(F.exists("spots", lambda s: s["hot"]))
-    found = some.mapInArrow(windows, "w1 bigint, w2 bigint, k1 bigint, k2 bigint, lo int, hi int, single boolean")
-    place = F.xxhash64("k1", "k2", "lo")
-    several = found.filter("w1 is not null").groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("w1", "w2")
-    columns = ["k1", "k2", "lo", "hi"]
-    return found.filter("single").join(several, ["w1", "w2"]).select(columns).unionByName(found.filter("w1 is null").select(columns))
