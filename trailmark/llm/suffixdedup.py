@@ -11,10 +11,10 @@ A window around an anchor is r bytes to its left and the rest to its right. So
 the suffixes that start behind the anchors, and the reversed texts before them,
 are sorted by the deep-shallow method: multikey quicksort down to a shallow
 depth, then a blind trie for every group that is still equal. Equal strings are
-merged before they move and the rest is dealt by range, so that an anchor with
-any number of occurrences is many tasks. The common prefixes of neighbours give
-the inner nodes of the two sorted orders; what parts ``resolve`` carries over
-the borders of the ranges. Two occurrences share a window where they share a
+merged before they move, and an anchor whose strings would fill more than a
+task is dealt by ranges of them, so that any number of occurrences is many
+tasks. The common prefixes of neighbours give the inner nodes of the two sorted
+orders; ``resolve`` carries them over the borders of the ranges. Two occurrences share a window where they share a
 node on the left and one on the right whose depths add up to it, so every
 occurrence has a few pairs of nodes instead of its windows, and the pairs that
 others have too are the repeats.
@@ -358,19 +358,22 @@ def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = at[at >= 0]
         climbed.append((of, at))
         at = parent[at]
-    of = np.concatenate([x for x, _ in climbed] or [np.zeros(0, np.int64)])
-    at = np.concatenate([x for _, x in climbed] or [np.zeros(0, np.int64)])
-    by = np.lexsort((depth[at] if len(at) else at, of))
-    of, at = of[by], at[by]
-    size = np.array([len(s[i]) for i in rows], np.int64)
+    size, many = np.array([len(s[i]) for i in rows], np.int64), np.array([found[i][1] for i in order], np.int64)
+    # a string that occurs more than once is a node of its own
+    own = np.flatnonzero((many > 1) & (np.append(depth, -1)[leaf] < size))
+    of = np.concatenate([own, *(x for x, _ in climbed)])
+    at_depth = np.concatenate([size[own], *(depth[x] for _, x in climbed)])
+    low = np.concatenate([number[own], *(number[first[x]] for _, x in climbed)])
+    by = np.lexsort((at_depth, of))
+    of, at_depth, low = of[by], at_depth[by], low[by]
     before = np.minimum.accumulate(np.concatenate([size[:1], shared[1:]]))
     after = np.minimum.accumulate(np.concatenate([size[-1:], shared[:0:-1]]))[::-1]
     ends = [i in (0, m - 1) for i in range(m)]
     yield pa.record_batch(
         [
             pa.array([h[i] for i in rows], pa.int64()), pa.array([side[i] for i in rows], pa.int32()), pa.array(number), pa.array(np.full(m, part, np.int32)), pa.array(size.astype(np.int32)),
-            pa.array([found[i][1] for i in order], pa.int64()), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)),
-            ragged(of, depth[at].astype(np.int32) if len(at) else np.zeros(0, np.int32), m, pa.int32()), ragged(of, number[first[at]] if len(at) else np.zeros(0, np.int64), m, pa.int64()),
+            pa.array(many), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)),
+            ragged(of, at_depth.astype(np.int32), m, pa.int32()), ragged(of, low, m, pa.int64()),
             pa.array([i == 0 for i in range(m)]), pa.array([i == m - 1 for i in range(m)]), pa.array([s[i] if e else None for i, e in zip(rows, ends, strict=True)], pa.binary()),
         ],
         [x.split()[0] for x in PATHS.split(", ")],
@@ -443,20 +446,12 @@ def completed(depths: list[int], lows: list[int], own: int, before: int, after:
 
 
 def whole_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, side, id, depths, lows of strings with the nodes of all ranges, and themselves where they occur more than once."""
+    """h, side, id, depths, lows of strings with the nodes of all ranges."""
     for batch in batches:
-        size, n, own, cut = (batch.column(c).to_pylist() for c in ("size", "n", "id", "cut"))
-        depths, lows = batch.column("depths").to_pylist(), batch.column("lows").to_pylist()
-        spots = [i for i, c in enumerate(cut) if c is not None]
-        if spots:
-            columns = [batch.column(c).take(pa.array(spots)).to_pylist() for c in ("before", "after", "t_depths", "t_lows", "t_own", "x_left", "x_right")]
-            for i, before, after, *border in zip(spots, *columns, strict=True):
-                depths[i], lows[i] = completed(depths[i], lows[i], own[i], before, after, [0, 0, 0, cut[i], *border])
-        for i in range(batch.num_rows):
-            if n[i] > 1 and (not depths[i] or depths[i][-1] < size[i]):
-                depths[i].append(size[i])
-                lows[i].append(own[i])
-        yield pa.record_batch([batch.column("h"), batch.column("side"), batch.column("id"), pa.array(depths, pa.list_(pa.int32())), pa.array(lows, pa.list_(pa.int64()))], ["h", "side", "id", "depths", "lows"])
+        columns = [batch.column(c).to_pylist() for c in ("depths", "lows", "id", "before", "after", "cut", "t_depths", "t_lows", "t_own", "x_left", "x_right")]
+        # a group inside one range has no border
+        made = [x[:2] if x[5] is None else completed(*x[:5], [0, 0, 0, *x[5:]]) for x in zip(*columns, strict=True)]
+        yield pa.record_batch([batch.column("h"), batch.column("side"), batch.column("id"), pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.int64()))], ["h", "side", "id", "depths", "lows"])
 
 
 def pairs(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
@@ -553,13 +548,7 @@ def covered(long: DataFrame, texts: DataFrame, length: int, gram: int, in_range:
     places = near.filter("side is null").select("h", "k1", "k2", "pos", "lid", "rid")
     strings = near.filter("side is not null").select("h", "side", "id", "s", "n")
 
-    ranges = max(1, -(-strings.count() // in_range))
-    above = written(strings.repartitionByRange(ranges, "h", "side", "s").mapInArrow(paths, PATHS), "suffix-paths")
-    # two rows of each range meet by their group: as many as there are ranges in it
-    ends = above.filter(F.col("s").isNotNull())
-    borders = written(ends.groupBy("h", "side").applyInPandas(resolve, BORDERS), "suffix-borders")
-    every = above.drop("s", "first", "last").join(borders, ["h", "side", "part"], "left").mapInArrow(whole_paths, "h bigint, side int, id bigint, depths array<int>, lows array<bigint>")
-    every = written(every.filter(F.size("depths") > 0), "suffix-nodes")
+    every = written(all_nodes(strings, in_range).filter(F.size("depths") > 0), "suffix-nodes")
 
     met = written(places.groupBy("h", "lid", "rid").agg(F.count(F.lit(1)).alias("n")), "suffix-pairs")
     sides = [every.filter(F.col("side") == k).select("h", F.col("id").alias(i), F.col("depths").alias(f"{p}_depths"), F.col("lows").alias(f"{p}_lows")) for k, i, p in ((0, "lid", "l"), (1, "rid", "r"))]
@@ -573,6 +562,27 @@ def covered(long: DataFrame, texts: DataFrame, length: int, gram: int, in_range:
     return places.join(runs, ["h", "lid", "rid"]).select("k1", "k2", (F.col("pos") - F.col("high")).alias("lo"), (F.col("pos") - F.col("low") + length).alias("hi"))
 
 
+def all_nodes(strings: DataFrame, in_range: int) -> DataFrame:
+    """h, side, id, depths, lows of the strings (h, side, id, s, n): the nodes above each in the order of its group."""
+    sizes = strings.groupBy("h", "side").agg(F.count(F.lit(1)).alias("m"))
+    sizes = written(sizes.groupBy((F.col("m") > in_range).alias("large"), F.when(F.col("m") > in_range, F.struct("h", "side")).alias("g")).agg(F.sum("m").alias("m")), "suffix-groups")
+    count = {r["large"]: r["m"] for r in sizes.groupBy("large").agg(F.sum("m").alias("m")).collect()}
+    # groups that fill more than a range: as many as there are ranges at most
+    large = F.broadcast(sizes.filter("large").select("g.h", "g.side"))
+    ranges = lambda n: -(-n // in_range)
+    columns = ["h", "side", "id", "depths", "lows"]
+    small = strings.join(large, ["h", "side"], "left_anti").repartition(max(1, ranges(count.get(False, 0))), "h", "side")
+    small = small.mapInArrow(paths, PATHS).select(columns)
+    if True not in count:
+        return small
+    cut = strings.join(large, ["h", "side"], "left_semi").repartitionByRange(ranges(count[True]) + 1, "h", "side", "s")
+    above = written(cut.mapInArrow(paths, PATHS), "suffix-paths")
+    # two rows of each range meet by their group: as many as there are ranges in it
+    borders = above.filter(F.col("s").isNotNull()).groupBy("h", "side").applyInPandas(resolve, BORDERS)
+    whole = above.drop("s", "first", "last").join(borders, ["h", "side", "part"], "left")
+    return small.unionByName(whole.mapInArrow(whole_paths, "h bigint, side int, id bigint, depths array<int>, lows array<bigint>"))
+
+
 def _settled(text: bytes, copies: int, covered: list[dict] | None, kept_text: bool, least_words: int) -> tuple:
     merged: list[list[int]] = []
     for c in [{"lo": 0, "hi": len(text)}] if copies > 1 else covered or []:
