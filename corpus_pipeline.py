@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from trailmark.llm import minhash, mixing, packing, pu, suffixdedup, toxicity
 from trailmark.llm.frames import table, written
 
+#: A repeated passage has this many words, and bytes, at least: 51 short words with their spaces.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 200, 72
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; null and empty texts stay."""
@@ -26,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat; n_chars counts what is left."""
-    left = suffixdedup.removed(docs, kept_text=True)
+    """All documents, without the passages of over 50 words that repeat; n_chars counts what is left."""
+    left = suffixdedup.removed(docs, length=PASSAGE_BYTES, gram=PASSAGE_GRAM, kept_text=True, least_words=PASSAGE_WORDS)
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
