@@ -6,32 +6,25 @@ longest wastes the fewest tokens. Inside a bucket the texts, in shuffled order,
 form batches of as many as the token budget holds at the padded length (one at
 least).
 
-Lengths are counted exactly up to ``EXACT`` and in ranges of 1/256 of their
-size above, each standing for its longest member, so the histogram has a few
-thousand entries whatever the table. The cut is optimal over these.
+The histogram is exact: it has an entry for each length that occurs, so no more
+than the longest text has words, and the cut is optimal.
 
 A length is the number of words; null text counts as empty. Empty texts have
 length 0 and their own share of a bucket. Repeated rows are separate texts. An
-empty table gives an empty result. Extra columns are ignored.
+empty table gives an empty result. Extra columns are ignored; a null doc_id is
+an id like others.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import running, written
 from .mixing import n_words
 
-BUCKETS, BUDGET, EXACT = 16, 65_536, 512
-
-
-def bin_of(length: Column) -> Column:
-    """The histogram entry of a length: itself up to EXACT, then 256 to the octave."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)))).cast("int")
-    step = F.pow(F.lit(2.0), F.greatest(octave - 8, F.lit(0)))
-    return F.when(length <= EXACT, length).otherwise((F.floor(length / step) * step).cast("bigint"))
+BUCKETS, BUDGET = 16, 65_536
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
@@ -39,27 +32,31 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndar
 
     cost(i, j) = lengths[j] * (texts in i..j) - (tokens in i..j) obeys the
     quadrangle inequality, so each layer's best cuts ascend and are found by
-    divide and conquer: buckets * n * log n steps.
+    divide and conquer, a level of all middles at once: buckets * n * log n steps.
     """
     n = len(lengths)
     if n <= buckets:
         return np.asarray(lengths)
     texts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     best = lengths * texts[1:]  # without the tokens themselves, which every cut shares
-    cuts = np.zeros((buckets, n), np.int64)
+    cuts = np.zeros((buckets, n), np.int32)
     for layer in range(1, buckets):
-        new, cut = np.empty(n, best.dtype), cuts[layer]
-        todo = [(0, n - 1, 0, n - 1)]
-        while todo:
-            lo, hi, left, right = todo.pop()
-            if lo > hi:
-                continue
+        new = np.empty(n, best.dtype)
+        lo, hi, left, right = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+        while len(lo):
             middle = (lo + hi) // 2
-            start = np.arange(left, min(middle, right) + 1)  # first entry of the last range
-            cost = np.where(start > 0, best[np.maximum(start, 1) - 1], 0) + lengths[middle] * (texts[middle + 1] - texts[start])
-            at = int(np.argmin(cost))
-            new[middle], cut[middle] = cost[at], start[at]
-            todo += [(lo, middle - 1, left, int(start[at])), (middle + 1, hi, int(start[at]), right)]
+            size = np.minimum(middle, right) - left + 1  # candidates: the first entry of the last range
+            at = np.cumsum(size) - size
+            start = np.arange(int(size.sum())) - np.repeat(at - left, size)
+            end = np.repeat(middle, size)
+            cost = np.where(start > 0, best[np.maximum(start, 1) - 1], 0) + lengths[end] * (texts[end + 1] - texts[start])
+            least = np.minimum.reduceat(cost, at)
+            hit = np.flatnonzero(cost == np.repeat(least, size))
+            found = start[hit[np.searchsorted(hit, at)]]
+            new[middle], cuts[layer][middle] = least, found
+            lo, hi, left, right = (np.concatenate(x) for x in ((lo, middle + 1), (middle - 1, hi), (left, found), (found, right)))
+            ok = lo <= hi
+            lo, hi, left, right = lo[ok], hi[ok], left[ok], right[ok]
         best = new
     out, end = [], n - 1
     for layer in range(buckets - 1, -1, -1):
@@ -73,17 +70,17 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndar
 def batches(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = 3) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_tokens (its longest), batch (in the bucket), slot (in the batch), padding of every row."""
     rows = written(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")), "pack-lengths")
-    bins = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n"))
-    # EXACT + 256 entries an octave at most
-    found = bins.orderBy("bin").collect()
-    bounds = boundaries(np.array([r["longest"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64), buckets).tolist()
+    # an entry a length: no more than the longest text has words
+    found = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
+    lengths, counts = (found.column(c).to_numpy() for c in ("n_tokens", "n"))
+    bounds = boundaries(lengths, counts, buckets).tolist()
     if not bounds:
         bounds = [0]
     upper = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds])
     bucket = F.size(F.filter(upper, lambda b: b < F.col("n_tokens")))
     rows = rows.withColumn("bucket", bucket).withColumn("bucket_tokens", F.element_at(upper, F.col("bucket") + 1))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "n_tokens"))
-    ranked = running(rows, ["bucket"], "_order", F.lit(1), "_rank", sum(r["n"] for r in found))
+    ranked = running(rows, ["bucket"], "_order", F.lit(1), "_rank", int(counts.sum()))
     holds = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_tokens"), F.lit(1)))).cast("bigint")
     rank = F.col("_rank").cast("bigint")
     return ranked.select(
