@@ -2,23 +2,24 @@
 
 Rows with equal texts form a group that stays together. Groups are sorted by
 size, the largest first, and each enters the bin with the least remaining
-capacity that still holds it, found in a balanced tree. For a fixed number of
+capacity that still holds it, found in a balanced tree. With a fixed number of
 bins the capacity is the least (by bisection) for which all groups find room;
-a group larger than the capacity has a bin's capacity raised to its own size.
-
-Groups are packed one by one down to a size of ``total / (bins * FINE)``, of
-which there can be ``bins * FINE`` at most; smaller ones are first poured, by
-their hash, into ``CELLS`` lots that are then packed like groups. So what is
-packed in one place is bounded by these two numbers, whatever the table.
-
-Null text counts as empty. Repeated rows are separate members of their group.
-An empty table gives an empty result. Extra columns are ignored.
+with a fixed capacity, bins are opened as needed, which best fit keeps few. A
+group larger than the capacity has a bin's capacity raised to its own size.
+
+Every group is packed by its size. Groups of one size follow each other, and
+the tightest bin stays the tightest while they enter it, so a size with its
+count is one entry of the list that is packed: as many entries as there are
+different sizes. Each group then finds its bin by its rank, in order of a hash,
+among those of its size.
+
+Null text counts as empty. Rows with null or equal ids are separate members of
+their group. Very long texts are groups like others. An empty table gives an
+empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,90 +27,116 @@ from .frames import running, text_key, written
 
 #: Bytes that a row costs besides its text.
 OVERHEAD = 16
-FINE, CELLS = 200, 8192
+#: The capacity is found to this share of a bin's even load.
+EVEN = 1 / 20_000
 
 
 class Tree:
-    """A balanced order of (remaining, bin) in blocks of bounded length.
+    """(remaining, bin) in the order of a treap: a search tree that priorities keep balanced.
 
-    Blocks split when they grow over twice their width, so insert, remove and
-    search cost the logarithm of the number of bins and one block's move.
+    Priorities are a hash of the bin, so that the tree, too, is the same in every run.
+    A node is [key, priority, left, right].
     """
 
-    WIDTH = 64
-
     def __init__(self) -> None:
-        self.blocks: list[list[tuple[int, int]]] = [[]]
-        self.least: list[tuple[int, int]] = [(-1, -1)]
-
-    def _block(self, key: tuple[int, int]) -> int:
-        return max(0, bisect_left(self.least, (key[0], key[1] + 1)) - 1)
+        self.root: list | None = None
+
+    def _split(self, node: list | None, key: tuple[int, int]) -> tuple[list | None, list | None]:
+        """The nodes below key, and the others."""
+        if node is None:
+            return None, None
+        if node[0] < key:
+            node[3], rest = self._split(node[3], key)
+            return node, rest
+        rest, node[2] = self._split(node[2], key)
+        return rest, node
+
+    def _merged(self, low: list | None, high: list | None) -> list | None:
+        if low is None or high is None:
+            return low or high
+        if low[1] > high[1]:
+            low[3] = self._merged(low[3], high)
+            return low
+        high[2] = self._merged(low, high[2])
+        return high
 
     def add(self, key: tuple[int, int]) -> None:
-        i = self._block(key)
-        insort(self.blocks[i], key)
-        if len(self.blocks[i]) > 2 * self.WIDTH:
-            tail = self.blocks[i][self.WIDTH :]
-            del self.blocks[i][self.WIDTH :]
-            self.blocks.insert(i + 1, tail)
-            self.least.insert(i + 1, tail[0])
+        low, high = self._split(self.root, key)
+        priority = ((key[1] + 1) * 0x9E3779B97F4A7C15 >> 7) & 0xFFFFFFFF
+        self.root = self._merged(self._merged(low, [key, priority, None, None]), high)
 
     def take(self, size: int) -> tuple[int, int] | None:
         """Remove and return the tightest bin with room for size."""
-        key = (size, -1)
-        i = self._block(key)
-        at = bisect_left(self.blocks[i], key)
-        while i < len(self.blocks) and at == len(self.blocks[i]):
-            i, at = i + 1, 0
-        if i == len(self.blocks):
+        above, node, found, parent = None, self.root, None, None
+        while node is not None:
+            if node[0][0] >= size:
+                found, parent, above, node = node, above, node, node[2]
+            else:
+                above, node = node, node[3]
+        if found is None:
             return None
-        found = self.blocks[i].pop(at)
-        if not self.blocks[i] and i:
-            del self.blocks[i], self.least[i]
-        return found
+        rest = self._merged(found[2], found[3])
+        if parent is None:
+            self.root = rest
+        else:
+            parent[2 if parent[2] is found else 3] = rest
+        return found[0]
 
 
-def best_fit(sizes: list[int], capacity: int, bins: int | None = None) -> list[int] | None:
-    """A bin for each size (given in descending order), new bins opened as needed.
+def best_fit(classes: list[tuple[int, int]], capacity: int, bins: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(size, bin, how many) for classes of (size, count), largest size first; new bins are opened as needed.
 
     bins: None if this many do not suffice. A size over the capacity opens a bin of its own.
     """
     tree, out, opened = Tree(), [], 0
-    for size in sizes:
-        found = tree.take(size)
-        if found is None:
-            if bins is not None and opened == bins:
-                return None
-            found, opened = (max(capacity, size), opened), opened + 1
-        out.append(found[1])
-        tree.add((found[0] - size, found[1]))
+    for size, count in classes:
+        while count:
+            found = tree.take(size)
+            if found is None:
+                if bins is not None and opened == bins:
+                    return None
+                found, opened = (max(capacity, size), opened), opened + 1
+            many = min(count, found[0] // size)
+            out.append((size, found[1], many))
+            tree.add((found[0] - many * size, found[1]))
+            count -= many
     return out
 
 
-def pack(sizes: list[int], bins: int) -> list[int]:
+def pack(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
     """Best-fit-decreasing with the least capacity that needs no more than bins."""
-    if not sizes:
+    down = sorted(classes, reverse=True)
+    total = sum(size * count for size, count in down)
+    if not total:
         return []
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    down = [sizes[i] for i in order]
-    low, high = 1, sum(down)
-    best = best_fit(down, high, bins)
-    step = max(1, high // bins // 20_000)
-    while high - low > step or best is None:
+    step = max(1, int(total / bins * EVEN))
+    # what is larger than an even share has a bin for itself: the even share of the rest is the least capacity
+    low, left, rest = 0, bins, total
+    for size, count in down:
+        if left <= count or size * left <= rest:
+            break
+        left, rest = left - count, rest - size * count
+    low = max(1, -(-rest // left))
+    high, best = low, best_fit(down, low, bins)
+    while best is None:
+        low, high = high + 1, high + step
+        step, best = step * 2, best_fit(down, high, bins)
+    step = max(1, int(total / bins * EVEN))
+    while high - low > step:
         middle = (low + high) // 2
         found = best_fit(down, middle, bins)
         if found is None:
             low = middle + 1
         else:
             best, high = found, middle
-    out = [0] * len(sizes)
-    for place, which in zip(order, best, strict=True):
-        out[place] = which
-    return out
+    return best
 
 
-def shards(docs: DataFrame, bins: int = 40, seed: int = 5) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row of docs (doc_id, text)."""
+def shards(docs: DataFrame, bins: int = 40, seed: int = 5, capacity: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every row of docs (doc_id, text).
+
+    capacity: bytes of a shard, in place of the number of bins; as few shards as best fit needs.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = written(docs.select(
         "doc_id",
@@ -117,21 +144,19 @@ def shards(docs: DataFrame, bins: int = 40, seed: int = 5) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         text_key(F.col("text")).alias("_key"),
     ), "shard-rows")
-    groups = rows.groupBy("_key").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"))
-    total = groups.agg(F.sum("weight"), F.sum("n")).first()
-    weight, n = int(total[0] or 0), int(total[1] or 0)
-    least = max(1, weight // (bins * FINE))
-    lot = F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(CELLS))
-    items = groups.select(F.when(F.col("weight") >= least, F.col("_key")).alias("_big"), lot.alias("_lot"), "weight")
-    items = items.withColumn("_lot", F.when(F.col("_big").isNull(), F.col("_lot")))
-    # at most bins * FINE large groups and CELLS lots
-    found = items.groupBy("_big", "_lot").agg(F.sum("weight").alias("weight")).orderBy("_big", "_lot").collect()
-    where = pack([r["weight"] for r in found], bins)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(r["_big"], r["_lot"], b) for r, b in zip(found, where, strict=True)], "_big string, _lot bigint, shard int")
-    big = F.broadcast(plan.filter("_big is not null").select(F.col("_big").alias("_key"), F.col("shard").alias("_s1")))
-    lots = F.broadcast(plan.filter("_lot is not null").select("_lot", F.col("shard").alias("_s2")))
-    placed = rows.withColumn("_lot", lot).join(big, "_key", "left").join(lots, "_lot", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", "_key", F.coalesce("_s1", "_s2").alias("shard"))
-    placed = placed.withColumn("_order", F.xxhash64(F.lit(seed), "_key", "doc_id"))
-    return running(placed, ["shard"], "_order", F.lit(1), "slot", n).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("bigint").alias("slot"))
+    groups = written(rows.groupBy("_key").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")), "shard-groups")
+    # an entry for each size of a group: text sizes times copies, far fewer than groups
+    sizes = groups.groupBy("weight").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")).toArrow()
+    weights, counts, n = (sizes.column(c).to_pylist() for c in ("weight", "groups", "n"))
+    classes = list(zip(weights, counts, strict=True))
+    packed = pack(classes, bins) if capacity is None else best_fit(sorted(classes, reverse=True), capacity)
+    plan: dict[int, list[tuple[int, int]]] = {}
+    for size, shard, many in packed:
+        runs = plan.setdefault(size, [])
+        runs.append((many + (runs[-1][0] if runs else 0), shard))
+    entries = docs.sparkSession.createDataFrame([(size, runs) for size, runs in plan.items()], "weight bigint, runs array<struct<upto: bigint, shard: int>>")
+    ranked = running(groups.withColumn("_order", F.xxhash64(F.lit(seed), "_key")), ["weight"], "_order", F.lit(1), "_rank", sum(counts))
+    mine = F.filter("runs", lambda r: r["upto"] > F.col("_rank"))[0]["shard"]
+    homes = written(ranked.join(entries, "weight").select("_key", mine.alias("shard")), "shard-homes")
+    placed = rows.join(homes, "_key").withColumn("_order", F.xxhash64(F.lit(seed), "_key", "doc_id"))
+    return running(placed, ["shard"], "_order", F.lit(1), "slot", sum(n)).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("bigint").alias("slot"))
