@@ -2,18 +2,21 @@
 
 Every source is a queue of its documents in shuffled order, gone through at
 most ``repeats`` times. A document's virtual finish time is the number of words
-its source has sent by its end, divided by the source's target; the queues are
-served in the order of these times, and the mix ends where the next document
+its source has sent by its end, divided by the source's target; all
+visits are range-sorted by these times, and the mix ends where the next document
 would exceed the total budget.
 
 Null text counts as empty, a null source is a source of its own (the last).
 Documents without words are never taken. Repeated rows are separate documents.
-Equal finish times are ordered by source, hash and id. An empty table gives an
-empty result.
+Equal finish times are ordered by source, and inside a source by queue: hash,
+id and the other columns. Very long texts count like any other; one that does
+not fit ends the mix. An empty table gives an empty result. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +27,6 @@ from .frames import WORD, running, written
 
 #: Weights dealt to the sources in turn, the budget as a share of all words, and how often a document may come.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-#: Pieces of virtual time that are summed at once to find the end of the mix.
-_GRAINS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -59,59 +60,86 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def fair_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17, also: Sequence[Column] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, times and taken (times * size) of every row of docs.
+class Mix:
+    """The queues of docs (doc_id, source, text) and the place where the mix ends.
 
-    docs: doc_id, source and either text or size. also: more columns of docs to return.
-    """
-    size = F.col("size").cast("bigint") if "size" in docs.columns else n_words(F.col("text"))
-    rows = written(docs.select("doc_id", "source", size.alias("size"), *also), "mix-sizes")
-    more = rows.columns[3:]
-    plan = targets(rows, weights, share, repeats)
-    # the sources' plan is a row a source; Spark decides by its size whether to send it everywhere
-    n = plan.agg(F.sum("source_size"), F.sum("target")).first()
-    budget = float(n[1] or 0.0)
-    count = rows.count()
-    shuffled = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size", *more))
-    queued = running(shuffled, ["source"], "_order", F.col("size"), "_sent", count)
-    joined = queued.alias("q").join(plan.drop("weight").alias("p"), F.col("q.source").eqNullSafe(F.col("p.source"))).select("q.*", "p.source_size", "p.target")
-    ends = F.array(*[F.col("_sent") + F.col("size") + F.col("source_size") * i for i in range(repeats)])
-    finish = F.when(F.col("target") > 0, F.transform(ends, lambda e: e / F.col("target")))
-    timed = written(joined.withColumn("_finish", finish), "mix-times")
-    events = timed.filter(F.col("size") > 0).select(F.explode("_finish").alias("t"), "size")
-    end = _end_of_mix(events, budget)
-    if end is None:
-        times = F.size(F.coalesce("_finish", F.array().cast("array<double>")))
-    else:
-        times = F.size(F.filter("_finish", lambda t: t <= end))
-    times = F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0).cast("int")
-    return timed.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("bigint").alias("taken"), *more)
-
-
-def _end_of_mix(events: DataFrame, budget: float) -> float | None:
-    """The last finish time whose documents fit in the budget; None: all do.
-
-    events: t, size. Each round sums the words of ``_GRAINS`` equal pieces of the
-    time left and goes on with the one in which the budget ends, until that one
-    cannot be told apart further.
+    rows: doc_id, source, size, source_size, target, _sent (words of its queue
+    before it) of every row, and the columns of also. end: time, source and _sent
+    of the first visit beyond the budget; None: all visits fit.
     """
-    low, high = events.agg(F.min("t"), F.max("t")).first()
-    last = None if low is None else -1.0
-    while low is not None:
-        grain = F.least(F.floor((F.col("t") - low) / ((high - low) or 1.0) * _GRAINS), F.lit(_GRAINS - 1))
-        events = events.withColumn("g", grain.cast("int"))
-        pieces = events.groupBy("g").agg(F.sum("size").alias("words"), F.min("t").alias("low"), F.max("t").alias("high")).orderBy("g").collect()
-        cut = None
-        for piece in pieces:
-            if piece["words"] > budget:
-                cut = piece
-                break
-            budget -= piece["words"]
-            last = piece["high"]
+
+    def __init__(self, docs: DataFrame, weights: Sequence[float], share: float, repeats: int, seed: int, also: Sequence[Column], size: Column | None):
+        self.repeats, self.also = repeats, [f"_also{i}" for i in range(len(also))]
+        size = n_words(F.col("text")) if size is None else size
+        named = [c.alias(n) for c, n in zip(also, self.also, strict=True)]
+        sizes = written(docs.select("doc_id", "source", size.cast("bigint").alias("size"), *named), "mix-sizes")
+        # the sources' plan is a row a source; Spark decides by its size whether to send it everywhere
+        plan = written(targets(sizes, weights, share, repeats).drop("weight"), "mix-targets")
+        budget = float(plan.agg(F.sum("target")).first()[0] or 0.0)
+        shuffled = sizes.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size", *self.also))
+        queued = running(shuffled, ["source"], "_order", F.col("size"), "_sent", sizes.count())
+        met = queued.alias("q").join(plan.alias("p"), F.col("q.source").eqNullSafe(F.col("p.source")))
+        self.rows = written(met.select("q.doc_id", "q.source", "q.size", "p.source_size", "p.target", "q._sent", *[f"q.{c}" for c in self.also]).withColumn("_sent", F.col("_sent").cast("bigint")), "mix-queues")
+        self.end = self._end(budget)
+
+    def finish(self) -> Column:
+        """The virtual finish times of a row's visits; none where it is never served."""
+        ends = F.array(*[F.col("_sent") + F.col("size") + F.col("source_size") * i for i in range(self.repeats)])
+        times = F.transform(ends, lambda e: e.cast("double") / F.col("target"))
+        return F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(F.array().cast("array<double>"))
+
+    def within(self, t: Column) -> Column:
+        """Whether a row's visit at time t comes before the end."""
+        if self.end is None:
+            return F.lit(True)
+        time, source, sent = (F.lit(x) for x in self.end)
+        # a null source comes last
+        earlier = F.col("source").isNotNull() if self.end[1] is None else F.coalesce(F.col("source") < source, F.lit(False))
+        return (t < time) | ((t == time) & (earlier | (F.col("source").eqNullSafe(source) & (F.col("_sent") < sent))))
+
+    def _end(self, budget: float) -> tuple | None:
+        """All visits range-sorted by time, source and queue; the one at which their running sum passes the budget.
+
+        The ranges grow with the square root of the visits, and so do their
+        number and the one range that is summed row by row.
+        """
+        visits = self.rows.select(F.explode(self.finish()).alias("t"), F.col("source").isNull().alias("last"), "source", "_sent", "size")
+        order = ["t", "last", "source", "_sent"]
+        n = self.repeats * self.rows.count()
+        ranges = max(8, math.isqrt(n) // 8)
+        ordered = written(visits.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-order")
+        sums = ordered.groupBy("range").agg(F.sum("size").alias("words"))
+        upto = sums.withColumn("upto", F.sum("words").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)))
+        cut = upto.filter(F.col("upto") > budget).orderBy("range").first()
         if cut is None:
-            return last
-        if cut["low"] == cut["high"]:
-            return last
-        low, high = cut["low"], cut["high"]
-        events = events.filter(F.col("g") == cut["g"]).drop("g")
-    return last
+            return None
+        inside = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        before = cut["upto"] - cut["words"]
+        found = ordered.filter(F.col("range") == cut["range"]).withColumn("upto", F.sum("size").over(inside) + F.lit(before))
+        end = found.filter(F.col("upto") > budget).orderBy(*order).select("t", "source", "_sent").first()
+        return tuple(end)
+
+
+def fair_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17, also: Sequence[Column] = (), size: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, times and taken (times * size) of every row of docs.
+
+    docs: doc_id, source, text; other columns are ignored. size: in place of the number of words.
+    also: more columns, which come as _also0, _also1 and so on; rows that are equal in id and size queue by them.
+    """
+    mix = Mix(docs, weights, share, repeats, seed, also, size)
+    times = F.size(F.filter(mix.finish(), mix.within)).cast("int")
+    rows = mix.rows.withColumn("times", times)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).cast("bigint").alias("taken"), *mix.also)
+
+
+def served(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17, size: Column | None = None) -> DataFrame:
+    """The rows of docs (doc_id, source, text, other columns) as often as the mix takes them, in the order in which it does."""
+    every = [F.col(c) for c in docs.columns]
+    same = [F.xxhash64(F.lit(k), *every) for k in (1, 2)]  # rows that are equal in all columns stand for each other
+    mix = Mix(docs, weights, share, repeats, seed, same, size)
+    visits = mix.rows.select(*[F.col(c) for c in mix.also], F.col("source"), "_sent", F.explode(F.filter(mix.finish(), mix.within)).alias("_t"))
+    visits = visits.select(F.col("_also0").alias("_k1"), F.col("_also1").alias("_k2"), F.struct("_t", F.col("source").isNull().alias("last"), "source", "_sent").alias("_turn"))
+    own = docs.select(F.struct(*every).alias("_row"), same[0].alias("_k1"), same[1].alias("_k2")).groupBy("_k1", "_k2").agg(F.any_value("_row").alias("_row"))
+    met = own.join(visits, ["_k1", "_k2"])
+    ranges = max(8, math.isqrt(mix.rows.count()) // 8)
+    return met.repartitionByRange(ranges, "_turn").sortWithinPartitions("_turn").select("_row.*")
