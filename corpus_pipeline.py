@@ -35,12 +35,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it; rows equal in id and text come equally often."""
-    node = F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")
-    mixed = mixing.fair_mix(docs, also=[node]).filter("times > 0").groupBy("doc_id", "node").agg(F.max("times").alias("times"))
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "times")
-    met = docs.withColumn("_text", node).join(mixed, (F.col("_text") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    """Each document as often as the mix of sources takes it, in the order of the queues."""
+    return mixing.served(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
