@@ -60,6 +60,61 @@ def test_labels_of_held_out_rows_teach_nothing(spark, make_docs):
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
+@pytest.mark.parametrize("module,run,column", [(toxicity, toxicity.toxicity, 2), (quality, quality.quality, 1)])
+def test_scores_against_a_slow_sum(spark, make_docs, module, run, column):
+    """A text's score is the logistic of the weights of its different features; columns named as results are replaced."""
+    from pyspark.sql import functions as F
+
+    texts, labels = labelled(4, 500)
+    texts += [texts[0], "", None, "long words " * 20_000]
+    docs = make_docs(texts).withColumn("score", F.lit("mine")).withColumn("predicted", F.lit(9)).withColumn("held_out", F.lit(3))
+    model = module.fit(docs, spark.createDataFrame(labels, LABELS))
+    got = {r["doc_id"]: r for r in run(docs, None, model).collect()}
+    assert len(got) == len(texts) and got[0]["score"] == got[500]["score"] and got[501]["score"] == got[502]["score"]
+    for i, text in enumerate(texts):
+        piece = next(slices(pa.array([text], pa.string())))
+        z = sum(float(model.weights[f]) for f in set(module.features(piece)[1].tolist())) + model.bias
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_few_bad_texts_are_told_from_many_good(spark, make_docs):
+    """300 trusted good texts, 50 bad ones hidden among the unlabelled."""
+    rng = random.Random(8)
+    bad = lambda text: " | ".join(w.upper() + "!!" for w in text.split())
+    texts = [prose(rng, rng.randint(30, 120)) for _ in range(700)]
+    texts = [bad(t) if i % 7 == 0 else t for i, t in enumerate(texts)]
+    labels = [(i, int(i % 7 != 0), 0) for i in range(700) if i % 7 == 0 or i % 2]
+    rows = quality.quality(make_docs(texts), spark.createDataFrame(labels, LABELS)).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 7 != 0) for r in held]) > 0.95
+
+
+def test_near_copies_share_their_sketch():
+    rng = random.Random(5)
+    text = prose(rng, 200)
+    piece = next(slices(pa.array([text, text + " one more", prose(rng, 200), "a b", "", "a b"])))
+    sketch = pu.sketches(piece)
+    assert (sketch[0] == sketch[1]).sum() >= 1 and not (sketch[0] == sketch[2]).any()
+    assert (sketch[3] == sketch[5]).all() and not sketch[4].any()
+
+
+def slow_risk(p, u, prior):
+    """The non-negative risk by its definition, with the logistic loss."""
+    loss = lambda z: math.log1p(math.exp(-z))
+    mean = lambda x: sum(x) / len(x)
+    return prior * mean([loss(g) for g in p]) + max(0.0, mean([loss(-g) for g in u]) - prior * mean([loss(-g) for g in p]))
+
+
+def test_fit_lowers_the_risk():
+    rng = np.random.default_rng(2)
+    draw = lambda n, share: pu.Sample(*(lambda rows: (np.cumsum([0, *map(len, rows)]), np.concatenate(rows)))([rng.choice(np.arange(20) if rng.random() < share else np.arange(20, 40), 6, replace=False) for _ in range(n)]))
+    p, u = draw(400, 1.0), draw(1200, 0.3)
+    model = pu.fit(p, u)
+    g = lambda s: [float(model.weights[s.ids[a:b]].sum()) + model.bias for a, b in zip(s.at, s.at[1:])]
+    assert abs(model.prior - 0.3) < 0.06
+    assert slow_risk(g(p), g(u), 0.3) < 0.25 * slow_risk([0.0], [0.0], 0.3)
+
+
 def test_no_labels_and_no_documents(spark, make_docs):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.toxicity(make_docs([]), none).collect() == []

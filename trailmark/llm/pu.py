@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import small_batches
-from .textcore import U64, Slice, mix, slices
+from .textcore import BYTE_KEY, U64, Slice, mix, prefix_hash, slices, span_hash
 
 #: Feature numbers are hashed to so many bits.
 BITS = 18
@@ -45,17 +45,6 @@ class Sample:
         pick = np.repeat(self.at[rows] - at[:-1], size) + np.arange(at[-1])
         return Sample(at, self.ids[pick])
 
-    def varied(self) -> Sample:
-        """One text of those that share their two least feature hashes: copies say a thing once.
-
-        Where over half would go, texts are alike by nature (a small vocabulary, say), and all stay.
-        """
-        seen: dict[bytes, int] = {}
-        for i in range(len(self)):
-            own = mix(self.ids[self.at[i] : self.at[i + 1]].astype(np.uint64))
-            seen.setdefault(np.sort(np.partition(own, 1)[:2] if len(own) > 2 else own).tobytes(), i)
-        return self.take(np.fromiter(seen.values(), np.int64, len(seen))) if 2 * len(seen) >= len(self) else self
-
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.at))
 
@@ -85,6 +74,27 @@ def distinct(piece: Slice, features: Features) -> tuple[np.ndarray, np.ndarray]:
     return (pairs >> U64(BITS)).astype(np.int64), (pairs & U64((1 << BITS) - 1)).astype(np.uint32)
 
 
+def sketches(piece: Slice) -> np.ndarray:
+    """[n, 2]: the two least hashes of each text's runs of five words (of its words, if it has fewer): near copies share them."""
+    start, end, owner = piece.words()
+    words = span_hash(prefix_hash(BYTE_KEY[piece.data]), start, end)
+    runs = words.copy()
+    for j in range(1, min(5, len(words))):
+        runs[: len(words) - j] += mix(words[j:] + U64(j))
+    count = np.bincount(owner, minlength=len(piece))
+    whole = np.concatenate([owner[:-4] == owner[4:], np.zeros(4, bool)]) if len(words) > 4 else np.zeros(len(words), bool)
+    short = (count < 5)[owner]
+    of, key = owner[whole | short], mix(np.where(short, words, runs))[whole | short]
+    order = np.lexsort((key, of))
+    of, key = of[order], key[order]
+    out = np.zeros((len(piece), 2), np.uint64)
+    for j in range(2):
+        at = np.searchsorted(of, np.arange(len(piece))) + j
+        has = at < np.searchsorted(of, np.arange(len(piece)), "right")
+        out[has, j] = key[at[has]]
+    return out
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -125,10 +135,10 @@ def fit(positive: Sample, unlabelled: Sample, *, threshold: float = 0.5, least_z
     """The nnPU minimiser over features whose presence differs between the samples.
 
     The convex loss leaves the bias conservative; it is moved at the end so that
-    the cut with the least risk stands at the threshold.
+    the cut with the least risk stands at the threshold. least_z: standard errors
+    by which presence must differ.
     """
     rng = np.random.default_rng(seed)
-    positive, unlabelled = positive.varied(), unlabelled.varied()
     weights = np.zeros(1 << BITS, np.float64)
     if not len(positive) or not len(unlabelled):
         return Model(weights, 0.0, 0.5)
@@ -204,11 +214,12 @@ def _sample(packed: list[bytes]) -> Sample:
     return Sample(np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int64), np.concatenate([*ids, np.zeros(0, np.int64)]))
 
 
-def fitted(docs: DataFrame, features: Features, **options: float) -> Model:
+def fitted(docs: DataFrame, features: Features, varied: bool = True, **options: float) -> Model:
     """The model of docs (kind: 1 positive, 0 unlabelled; text), which must be bounded.
 
     Features are made where the texts are; one task gathers them and trains, and
-    the driver gets the weights.
+    the driver gets the weights. varied: of near copies one counts, for copies
+    would teach their words; of use where features are words.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,18 +229,22 @@ def fitted(docs: DataFrame, features: Features, **options: float) -> Model:
                 row, ids = distinct(piece, features)
                 upto = np.searchsorted(row, np.arange(len(piece) + 1))
                 packed = [ids[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
-                yield pa.record_batch([kind.slice(piece.lo, len(piece)), pa.array(packed, pa.binary())], ["kind", "ids"])
+                sketch = [x.tobytes() for x in sketches(piece)]
+                yield pa.record_batch([kind.slice(piece.lo, len(piece)), pa.array(packed, pa.binary()), pa.array(sketch, pa.binary())], ["kind", "ids", "sketch"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: dict[int, list[bytes]] = {0: [], 1: []}
-        for batch in batches:
-            for kind, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        seen: set[tuple[int, bytes]] = set()
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "ids", "sketch")), strict=True))
+        for kind, ids, sketch in sorted(rows):
+            if not varied or (kind, sketch) not in seen:
                 packed[kind].append(ids)
+            seen.add((kind, sketch))
         model = fit(_sample(packed.pop(1)), _sample(packed.pop(0)), **options)
         spot = np.flatnonzero(model.weights)
         yield pa.record_batch([pa.array([spot.astype(np.uint32).tobytes()], pa.binary()), pa.array([model.weights[spot].tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.prior])], ["spot", "weights", "bias", "prior"])
 
-    made = small_batches(docs).select("kind", "text").mapInArrow(rows, "kind int, ids binary")
+    made = small_batches(docs).select("kind", "text").mapInArrow(rows, "kind int, ids binary, sketch binary")
     got = made.repartition(1).mapInArrow(learn, "spot binary, weights binary, bias double, prior double").collect()
     weights = np.zeros(1 << BITS, np.float32)
     if not got:
@@ -238,7 +253,7 @@ def fitted(docs: DataFrame, features: Features, **options: float) -> Model:
     return Model(weights, got[0]["bias"], got[0]["prior"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, features: Features, *, positives: int, unlabelled: int, **options: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, features: Features, *, positives: int, unlabelled: int, **options: float | bool) -> Model:
     """A model of label from a bounded sample of the rows for which learn holds.
 
     positives: most texts labelled 1; unlabelled: most texts whose labels, if

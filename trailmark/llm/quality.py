@@ -6,9 +6,10 @@ numpy. A text is seen through what holds in any language: which byte classes
 follow each other and how often, word shapes, the share of symbols, capitals,
 digits and repeated lines and words, and common words.
 
-Nulls and texts without words are scored like any other; equal texts get equal
-scores; an empty table gives an empty result. A null doc_id counts as the empty
-text when folds are dealt. Extra columns of the inputs are ignored.
+Nulls and texts without words are scored like any other, very long texts whole;
+equal texts get equal scores (there are no other ties); an empty table gives an
+empty result. A null doc_id counts as the empty text when folds are dealt. Extra
+columns of the inputs are ignored, also those with the name of a result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from . import pu
 from .frames import fold
 from .textcore import BYTE_KEY, BYTE_KEY_LOWER, U64, Slice, mix, prefix_hash, span_hash
 
-#: Bounds of the training sample, in texts.
+#: Default bounds of the training sample, in texts.
 POSITIVES, UNLABELLED = 2500, 5000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 
@@ -58,6 +59,11 @@ def features(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
         of.append(row)
         ids.append((mix(value.astype(np.uint64) * U64(64) + U64(kind)) >> U64(64 - pu.BITS)).astype(np.int64))
 
+    def steps(kind: int, row: np.ndarray, value: np.ndarray) -> None:
+        """A number as all steps up to it, so that near numbers share most of them."""
+        size = value.astype(np.int64) + 1
+        add(kind, np.repeat(row, size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))
+
     # pairs of byte classes, with their share of the text
     kind = CLASS[piece.data]
     if len(kind) > 1:
@@ -71,24 +77,24 @@ def features(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
         add(2, row, which)
     for number, members in ((3, kind >= 7), (4, kind == 2), (5, kind == 3), (6, kind == 5), (7, kind == 6)):
         upto = np.concatenate([[0], np.cumsum(members)])
-        add(number, every, _log_bucket((upto[piece.ends] - upto[piece.starts]) / size))
+        steps(number, every, _log_bucket((upto[piece.ends] - upto[piece.starts]) / size))
     # repeated lines, words and runs of five words
     l_start, l_end, l_owner = piece.lines()
     raw = prefix_hash(BYTE_KEY[piece.data])
     full = l_end > l_start
     n_lines = np.maximum(np.bincount(l_owner[full], minlength=n), 1)
-    add(8, every, _log_bucket(repeats(l_owner[full], span_hash(raw, l_start[full], l_end[full]), n) / n_lines))
+    steps(8, every, _log_bucket(repeats(l_owner[full], span_hash(raw, l_start[full], l_end[full]), n) / n_lines))
     lower = prefix_hash(BYTE_KEY_LOWER[piece.data])
     words = span_hash(lower, start, end)
-    add(9, every, _log_bucket(repeats(owner, words, n) / n_words))
+    steps(9, every, _log_bucket(repeats(owner, words, n) / n_words))
     if len(words) >= 5:
         five = owner[:-4] == owner[4:]
         grams = words[:-4] + words[1:-3] * U64(3) + words[2:-2] * U64(5) + words[3:-1] * U64(7) + words[4:] * U64(11)
-        add(10, every, _log_bucket(repeats(owner[:-4][five], grams[five], n) / n_words))
+        steps(10, every, _log_bucket(repeats(owner[:-4][five], grams[five], n) / n_words))
     # sizes
-    add(11, every, np.minimum(np.log2(n_words + 1).astype(np.int64), 14))
+    steps(11, every, np.minimum(np.log2(n_words + 1).astype(np.int64), 14))
     length = np.bincount(owner, end - start, n) / n_words
-    add(12, every, np.minimum(length.astype(np.int64), 30))
+    steps(12, every, np.minimum(length.astype(np.int64), 30))
     # words, and the last byte of each with its share
     add(13, owner, words)
     if len(end):
@@ -97,13 +103,14 @@ def features(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(ids)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> pu.Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> pu.Model:
+    """positives, unlabelled: the most texts of each kind that are learnt from."""
     learn = fold(F.col("doc_id"), FOLDS) != HELD_OUT
-    return pu.train(docs, labels, "quality", learn, features, positives=POSITIVES, unlabelled=UNLABELLED, threshold=THRESHOLD, least_z=5.0)
+    return pu.train(docs, labels, "quality", learn, features, positives=positives, unlabelled=unlabelled, threshold=THRESHOLD, least_z=3.0, decay=0.1, varied=False)
 
 
-def quality(docs: DataFrame, labels: DataFrame, model: pu.Model | None = None) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, model: pu.Model | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """doc_id, held_out, score in 0 to 1, predicted (1 if score >= 0.7) of every text."""
-    model = model or fit(docs, labels)
+    model = model or fit(docs, labels, positives, unlabelled)
     rows = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
     return pu.score(rows, model, features, THRESHOLD)
