@@ -320,3 +320,46 @@ def test_slices_of_any_size_agree():
             ls, le, lo = p.lines()
             lines = [[p.data[a:b].tobytes() for a, b, o in zip(ls, le, lo) if o == i] for i in range(len(p))]
             assert lines == [(t or "").encode().split(b"\n") for t in texts[7 + p.lo : 7 + p.hi]]
+
+
+def slow_cosine_hash(picture):
+    """The hash by its definition: area means, a plain cosine sum, the 63 lowest frequencies against their median."""
+    h, w = picture.shape
+    cell = lambda n, i: range(i * n // 32, max(i * n // 32 + 1, (i + 1) * n // 32)) if n >= 32 else [i * n // 32]
+    small = [[np.mean([[float(picture[y, x]) for x in cell(w, j)] for y in cell(h, i)]) for j in range(32)] for i in range(32)]
+    scale = lambda k: math.sqrt((1 if k == 0 else 2) / 32)
+    wave = lambda k, x: math.cos(math.pi * (2 * x + 1) * k / 64)
+    low = [round(scale(u) * scale(v) * sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = float(np.median(low[1:]))
+    return np.packbits([False, *(x > middle for x in low[1:])]).tobytes()
+
+
+def test_media_lines_are_filtered_and_hashes_are_slow_ones(make_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = [prose(rng, 400), "ab" * 900, "", None, "é" * 50_000]
+    docs = make_docs(texts).withColumn("n_bytes", F.lit("mine")).withColumn("media", F.lit(1)).withColumn("low_hash", F.lit(2))
+    rows = {r["doc_id"]: r for r in media.stored(docs).collect()}
+    kinds = set()
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        png, body = bytes(rows[i]["media"]), dict(media.chunks(bytes(rows[i]["media"])))
+        lines = np.frombuffer(zlib.decompress(body[b"IDAT"]), np.uint8).reshape(-1, media.WIDTH + 1)
+        kinds |= set(lines[:, 0].tolist())
+        samples = media.decode(png)
+        assert samples.tobytes() == raw + b"\xff" * (-len(raw) % media.WIDTH or (0 if raw else media.WIDTH))
+        assert rows[i]["n_bytes"] == len(raw)
+        if i < 4:
+            assert bytes(rows[i]["low_hash"]) == slow_cosine_hash(samples[..., 0])
+    assert kinds >= {1, 2}
+    assert media.stored(make_docs([])).collect() == []
+
+
+def test_quality_rules_on_odd_tables(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    none = spark.createDataFrame([], LABELS)
+    assert linecrf.quality_rules(make_docs([]), none).collect() == []
+    docs = make_docs(["a b c", None, "x\n" * 50_000], ids=[None, 1, 1]).withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit(3))
+    assert sorted(r["n_words"] for r in linecrf.quality_rules(docs, none).collect()) == [0, 3, 50_000]

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .frames import small_batches
 from .textcore import BYTE_KEY, SEPARATOR, U64, Slice, mix, prefix_hash, slices, span_hash
 
-#: Bound of the training sample, in texts of each label; a training chain is cut after so many lines.
+#: Bound of the training sample, in texts of each label; a longer training chain is taught in pieces of so
+#: many pairs of lines, which share a line, so that every pair of neighbours teaches its transition.
 TEXTS, CHAIN = 1500, 64
 #: A text is kept if at least this share of its line bytes is content.
 CONTENT_SHARE = 0.5
@@ -178,7 +179,7 @@ def viterbi(model: Chain, features: np.ndarray, owner: np.ndarray, n: int) -> np
 def fit(chains: list[tuple[np.ndarray, np.ndarray]], *, steps: int = 100, rate: float = 0.1, decay: float = 1e-3) -> Chain:
     """Maximum likelihood of the given (features, labels) chains, by forward-backward and Adam."""
     unary, pairs = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    chains = [(f[i : i + CHAIN], y[i : i + CHAIN]) for f, y in chains for i in range(0, len(y), CHAIN)]
+    chains = [(f[i : i + CHAIN + 1], y[i : i + CHAIN + 1]) for f, y in chains for i in range(0, max(1, len(y) - 1), CHAIN) if len(y)]
     if not chains:
         return Chain(unary, pairs)
     chains.sort(key=lambda c: -len(c[1]))  # the chains that reach step t come first
@@ -245,9 +246,18 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Chain:
             yield pa.record_batch([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["features", "labels"])
 
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    got = sorted((bytes(r[0]), bytes(r[1])) for r in sample.select("quality", "text").mapInArrow(rows, "features binary, labels binary").collect())
-    chains = [(np.frombuffer(f, np.uint8).reshape(-1, len(_SIZES)).astype(np.int64), np.frombuffer(y, np.int8).astype(np.int64)) for f, y in got]
-    return fit(chains)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        model = fit([(np.frombuffer(f, np.uint8).reshape(-1, len(_SIZES)).astype(np.int64), np.frombuffer(y, np.int8).astype(np.int64)) for f, y in got])
+        yield pa.record_batch([pa.array([model.unary.tobytes()], pa.binary()), pa.array([model.pairs.tobytes()], pa.binary())], ["unary", "pairs"])
+
+    # one task gathers the lines' features and trains; the driver gets the weights
+    made = sample.select("quality", "text").mapInArrow(rows, "features binary, labels binary")
+    got = made.repartition(1).mapInArrow(learn, "unary binary, pairs binary").collect()
+    if not got:
+        return fit([])
+    return Chain(np.frombuffer(got[0]["unary"]).reshape(-1, 2).copy(), np.frombuffer(got[0]["pairs"]).reshape(2, 2).copy())
 
 
 def marked(docs: DataFrame, model: Chain, content_share: float = CONTENT_SHARE) -> DataFrame:
