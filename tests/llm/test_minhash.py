@@ -129,3 +129,15 @@ def test_components(spark, seed):
             least[a] = least[b] = min(least[a], least[b])
     for node, root in least.items():
         assert got.get(node, node) == root
+
+
+def test_texts_with_equal_hashes_are_told_apart(make_docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(minhash, "_hashes", lambda t: (F.pmod(F.xxhash64(t), F.lit(3)), F.xxhash64(F.lit(7), t)))
+    texts = [f"word{i} " * 9 for i in range(12)]
+    docs = make_docs([*texts, *texts[:5], None, "", "long text " * 30_000]).withColumn("node", F.lit(1)).withColumn("root", F.lit("x"))
+    rows = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert rows == {**{i: i for i in range(12)}, **{12 + i: i for i in range(5)}, 17: 17, 18: 17, 19: 19}
+    kept = minhash.deduplicated(docs.drop("node", "root").withColumn("band", F.lit(2))).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(12), 17, 19] and all(r["band"] == 2 for r in kept)

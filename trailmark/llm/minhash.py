@@ -22,8 +22,9 @@ What meets is verified by its exact weighted Jaccard similarity:
 
 Null text counts as empty. Texts without words have no shingles and match only
 equal texts. Rows with null or equal ids are separate rows; a class takes its
-least non-null id as its number. Texts are told apart by 64-bit hashes. An empty
-table gives an empty result.
+least non-null id as its number. Texts are told apart by 128 bits of hashes.
+Very long texts are bags like others; extra columns are ignored, or kept by
+``deduplicated``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -276,9 +277,29 @@ def _block_links(block: list[tuple], similarity: float) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
 
+def _hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def with_node(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a 64-bit number for each text, null counting as empty: different texts have different numbers.
+
+    Texts with the same hash are told apart by a second one; all but those with its least value are numbered anew.
+    """
+    first, second = _hashes(F.coalesce("text", F.lit("")))
+    marks = docs.select(first.alias("h"), second.alias("m")).groupBy("h").agg(F.min("m").alias("least"), F.max("m").alias("most"))
+    clash = written(marks.filter("least <> most").select(F.col("h").alias("_h"), F.col("least").alias("_m")), "hash-clashes")
+    if not clash.limit(1).count():
+        return docs.withColumn(name, first)
+    met = docs.withColumns({"_first": first, "_second": second}).join(clash, F.col("_first") == F.col("_h"), "left")
+    own = F.when(F.col("_h").isNull() | (F.col("_second") == F.col("_m")), F.col("_first")).otherwise(F.xxhash64("_first", "_second"))
+    return met.withColumn(name, own).select(*docs.columns, name)
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (its text), root (of its class), class_id, class_size, n_links of every row of docs (doc_id, text)."""
-    named = small_batches(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, node (its text), root (of its class), class_id, class_size, n_links of every row of docs (doc_id, text, node if it has been numbered)."""
+    named = docs if "node" in docs.columns else with_node(docs.select("doc_id", "text"), "node")
+    named = small_batches(named).select("doc_id", "node", F.coalesce("text", F.lit("")).alias("text"))
     frequencies, n = document_frequencies(docs)
     idf = inverse(frequencies, n)
     bands = written(band_rows(named, idf), "bands")
@@ -306,17 +327,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (its least id), class_size, n_links (to different texts), kept (the class's first) of every row."""
-    return classes(docs, similarity).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("node", "root")
+    """doc_id, class_id (its least id), class_size, n_links (verified ones that joined its text to others), kept (the class's first) of every row."""
+    return classes(docs.select("doc_id", "text"), similarity).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("node", "root")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of docs (doc_id, text, other columns) of each class: the one with its least id, and of these its least text hash."""
-    rows = written(classes(docs, similarity).select("doc_id", "node", "root"), "classes")
+    numbered = with_node(docs, "_text")
+    rows = written(classes(numbered.select("doc_id", "text", F.col("_text").alias("node")), similarity).select("doc_id", "node", "root"), "classes")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_node"))
     same = rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     first = first.join(same, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_node") == F.col("node")), "left").select("_id", "_node", F.coalesce("_rows", F.lit(1)).alias("_rows"))
-    met = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(first, F.col("_text") == F.col("_node"))
+    met = numbered.join(first, F.col("_text") == F.col("_node"))
     met = met.filter(F.col("doc_id").eqNullSafe(F.col("_id")))
     # rows that are equal in id and text stay one too
     single = met.filter("_rows = 1").select(docs.columns)
