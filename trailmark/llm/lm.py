@@ -34,7 +34,7 @@ empty table gives an empty result; without training texts all counts are 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +45,20 @@ from .frames import fold, small_batches, written
 from .textcore import BYTE_KEY_LOWER, U64, Slice, mix, prefix_hash, signed, slices, span_hash
 
 FOLDS, HELD_OUT = 5, 1
-HEADS, GROUPS, CONTEXT, WIDTH = 111, 48, 4, 16
+HEADS, GROUPS, CONTEXT, WIDTH = 111, 48, 3, 8
 #: Classes: heads, groups, end. One more number stands for what precedes a text.
 END = HEADS + GROUPS
 CLASSES = END + 1
-NOISE, BATCH, RATE = 64, 4096, 0.02
+NOISE, BATCH, RATE = 32, 16384, 0.03
 #: Words of a cell at most, and noise drawn for each word and each cell.
-CELL, NOISE_BELOW = 64, 4
+CELL, NOISE_BELOW = 64, 2
 #: The first steps take so many tokens, every so many steps twice as many, up to BATCH.
 FIRST_BATCH, DOUBLING = 256, 64
 #: Most words whose counts go to every task; averaging goes through so many rows.
 TABLE, SLOTS = 1 << 17, 32
+_LEADING = 19
+#: Bytes of text and tokens that are looked at together: the more, the longer the matrices of each cell.
+_SLICE, _AT_ONCE = 1 << 22, 1 << 18
 
 
 def tokens(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,11 +101,10 @@ class Tree:
     """What stands below the groups: words, cell by cell, then cells, group by group. Siblings are neighbours."""
 
     words: int
-    lo: np.ndarray  # of words and cells: their siblings are lo to hi
+    lo: np.ndarray  # of words and cells: their siblings, at most CELL or a group's cells, are lo to hi
     hi: np.ndarray
     cell: np.ndarray  # of words: the number of their cell
     rest: np.ndarray  # of groups: the cell of the words outside the table
-    upto: np.ndarray  # sums of counts before each, and the whole sum
     share: np.ndarray  # among the siblings, by counts
 
     @classmethod
@@ -119,13 +121,12 @@ class Tree:
         lo = np.concatenate([starts[cell], n + np.repeat(first, n_cells)])
         hi = np.concatenate([starts[cell + 1], n + np.repeat(first + n_cells, n_cells)])
         upto = np.concatenate([[0], np.cumsum(np.concatenate([count, cell_counts + 0.5]))])
-        return cls(n, lo, hi, n + cell, n + first, upto, np.diff(upto) / (upto[hi] - upto[lo]))
+        return cls(n, lo, hi, n + cell, n + first, np.diff(upto) / (upto[hi] - upto[lo]))
 
     def draw(self, node: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """NOISE_BELOW siblings of each node by their counts, itself among them."""
-        lo, hi = self.lo[node][:, None], self.hi[node][:, None]
-        at = self.upto[lo] + rng.random((len(node), NOISE_BELOW)) * (self.upto[hi] - self.upto[lo])
-        return np.clip(np.searchsorted(self.upto, at, "right") - 1, lo, hi - 1)
+        """NOISE_BELOW siblings of each node, all alike likely, itself among them."""
+        lo, size = self.lo[node][:, None], (self.hi - self.lo)[node][:, None]
+        return lo + (rng.random((len(node), NOISE_BELOW), np.float32) * size).astype(np.int64) % size
 
 
 @dataclass(frozen=True)
@@ -142,13 +143,32 @@ class Vocabulary:
     frequency: np.ndarray  # by class
     nodes: np.ndarray  # of the words of hashes: the number in tree, -1 for heads
     tree: Tree
+    #: Where the hashes with each value of their leading bits start; found by ``indexed``.
+    starts: np.ndarray | None = None
+
+    def indexed(self) -> Vocabulary:
+        """With an index of leading bits, four times as many values as words, which makes ``find`` short."""
+        starts = np.searchsorted(self.hashes.astype(np.int64) >> (64 - _LEADING), np.arange(-(1 << _LEADING - 1), (1 << _LEADING - 1) + 1))
+        return replace(self, starts=starts.astype(np.int32))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places in hashes, -1 if absent."""
         if not len(self.hashes):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        if self.starts is None:
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            return np.where(self.hashes[at] == h, at, -1)
+        value = (h >> (64 - _LEADING)) + (1 << _LEADING - 1)
+        at, end = self.starts[value], self.starts[value + 1]
+        out = np.full(len(h), -1)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            own = at[todo]
+            hit = self.hashes[own] == h[todo]
+            out[todo[hit]] = own[hit]
+            at[todo] += 1
+            todo = todo[~hit & (own + 1 < end[todo])]
+        return out
 
     def classed(self, h: np.ndarray, g: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
         place = self.find(h) if place is None else place
@@ -188,12 +208,12 @@ def vocabulary(table: DataFrame, n_texts: int) -> Vocabulary:
     nodes = np.full(len(h), -1)
     nodes[below] = np.arange(len(below))
     tree = Tree.of(g[below], c[below], group_counts - np.bincount(g[below], c[below], GROUPS))
-    return Vocabulary(n + n_texts, v + (n_texts > 0), n_texts, h, c, classes, masses, frequency, nodes, tree)
+    return Vocabulary(n + n_texts, v + (n_texts > 0), n_texts, h, c, classes, masses, frequency, nodes, tree).indexed()
 
 
 def before(target: np.ndarray, since: np.ndarray, none: int) -> np.ndarray:
     """What stands before each token, the nearest first; since counts the tokens before it in its text."""
-    context = np.full((len(target), CONTEXT), none, np.int64)
+    context = np.full((len(target), CONTEXT), none, np.int32)
     for i in range(CONTEXT):
         if len(target) > i:
             context[i + 1 :, i] = np.where(since[i + 1 :] > i, target[: len(target) - i - 1], none)
@@ -297,8 +317,8 @@ class Below:
 def log10(net: Network, below: Below, target: np.ndarray, context: np.ndarray, word: np.ndarray, words: np.ndarray) -> np.ndarray:
     """log10 probabilities of tokens, those of words outside the table without their share in it."""
     out = np.empty(len(target))
-    for lo in range(0, len(target), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
+    for lo in range(0, len(target), _AT_ONCE):
+        part = slice(lo, lo + _AT_ONCE)
         more = below.added(net.p, words[part])
         out[part] = net.log10(target[part], context[part], more)
         guess = net.predicted(context[part]) + more
@@ -322,8 +342,8 @@ class Trainer:
     def __init__(self, network: Network, below: Below, frequency: np.ndarray, seed: int):
         self.net, self.rng = network, np.random.default_rng(seed)
         self.below, n = below, len(below.b)
-        self.below_offset = np.log(NOISE_BELOW * below.tree.share).astype(np.float32)
-        self.met, self.number = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+        self.below_offset = np.log(NOISE_BELOW / (below.tree.hi - below.tree.lo)).astype(np.float32)
+        self.met, self.number = np.zeros(n, np.int64), np.zeros(n + 1, np.int32)
         self.squares = {"e": np.zeros_like(below.e), "q": np.zeros_like(below.q), "b": np.zeros_like(below.b)}
         share = (frequency + 0.5) / (frequency + 0.5).sum()
         self.upto = np.cumsum(share)
@@ -340,17 +360,17 @@ class Trainer:
         noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
         guess = net.predicted(context) + low.added(net.p, words)
         own, other = net.q[target], net.q[noise]
-        gap = (guess * own).sum(axis=1) + net.b[target] - self.offset[target]
-        up = -1 / (1 + np.exp(np.clip(gap, -30, 30)))  # sigmoid(gap) - 1
-        gap = guess @ other.T + (net.b[noise] - self.offset[noise])
-        down = 1 / (1 + np.exp(-np.clip(gap, -30, 30)))
+        up = _sigmoid(np.einsum("nw,nw->n", guess, own) + net.b[target] - self.offset[target]) - 1
+        down = guess @ other.T
+        down += net.b[noise] - self.offset[noise]
+        down = _sigmoid(down)
         pull = up[:, None] * own + down @ other
         ids, errors, rows = [], [], []
         for at, node in nodes_of(low.tree, target, word):
             both = np.concatenate([node[:, None], low.tree.draw(node, self.rng)], axis=1)
             vectors, here = low.q[both], guess[at]
             gap = np.einsum("nkw,nw->nk", vectors, here) + low.b[both] - self.below_offset[both]
-            error = 1 / (1 + np.exp(-np.clip(gap, -30, 30)))
+            error = _sigmoid(gap)
             error[:, 0] -= 1
             pull[at] += np.einsum("nk,nkw->nw", error, vectors)
             ids.append(both.ravel())
@@ -384,11 +404,12 @@ class Trainer:
 
     def numbered(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The different ids, and the place of each id among them."""
-        self.number[:] = 0
         self.number[ids] = 1
         met = np.flatnonzero(self.number)
-        self.number[met] = np.arange(len(met))
-        return met, self.number[ids]
+        self.number[met] = np.arange(len(met), dtype=np.int32)
+        at = self.number[ids]
+        self.number[met] = 0
+        return met, at
 
     def move(self, name: str, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
         """Adagrad for rows that few batches meet."""
@@ -397,6 +418,15 @@ class Trainer:
         x[at] -= 5 * rate * grad / (np.sqrt(squares[at]) + 1)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     flat = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
     return np.bincount(flat, rows.ravel(), size * WIDTH).reshape(size, WIDTH).astype(np.float32)
@@ -410,7 +440,7 @@ def train(texts: DataFrame, words: Vocabulary) -> tuple[Network, Below]:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(Network.start(words.frequency), Below.start(words.tree), words.frequency, 7)
         for batch in batches:
-            for piece in slices(batch.column(0)):
+            for piece in slices(batch.column(0), _SLICE):
                 h, g, owner = tokens(piece)
                 parts = sequence(piece, words, words.find(h), h, g, owner)
                 order = trainer.rng.permutation(len(parts[0]))  # neighbours in a batch tell little
@@ -477,7 +507,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         mass = np.log10(words.masses)
         names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "h", "tf"]
         for batch in batches:
-            for piece in slices(batch.column("text")):
+            for piece in slices(batch.column("text"), _SLICE):
                 n = len(piece)
                 h, g, owner = tokens(piece)
                 place = words.find(h)
