@@ -49,7 +49,7 @@ HEADS, GROUPS, CONTEXT, WIDTH = 111, 48, 3, 8
 #: Classes: heads, groups, end. One more number stands for what precedes a text.
 END = HEADS + GROUPS
 CLASSES = END + 1
-NOISE, BATCH, RATE = 32, 16384, 0.03
+NOISE, BATCH, RATE = 32, 8192, 0.03
 #: Words of a cell at most, and noise drawn for each word and each cell.
 CELL, NOISE_BELOW = 64, 2
 #: The first steps take so many tokens, every so many steps twice as many, up to BATCH.
@@ -266,15 +266,22 @@ class Network:
     def log10(self, target: np.ndarray, context: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
         """Normalised log10 probabilities of the target classes; more: what word vectors add to the prediction."""
         out = np.empty(len(target))
-        for lo in range(0, len(target), 8192):
-            part = slice(lo, lo + 8192)
+        for lo in range(0, len(target), 2048):  # so that the logits stay near the processor
+            part = slice(lo, lo + 2048)
             guess = self.predicted(context[part])
-            logits = (guess if more is None else guess + more[part]) @ self.q.T + self.b
-            own = logits[np.arange(len(logits)), target[part]].astype(np.float64)
-            top = logits.max(axis=1, keepdims=True)
-            total = np.exp(logits - top).sum(axis=1, dtype=np.float64)
-            out[part] = (own - top[:, 0] - np.log(total)) / np.log(10)
-        return out
+            out[part] = _log_softmax(self.q, self.b, guess if more is None else guess + more[part], target[part])
+        return out / np.log(10)
+
+
+def _log_softmax(q: np.ndarray, b: np.ndarray, guess: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of each row's target; candidates lie in rows, so that sums over them run along the memory."""
+    logits = q @ guess.T
+    logits += b[:, None]
+    own = logits[target, np.arange(len(target))]
+    top = logits.max(axis=0)
+    logits -= top
+    np.exp(logits, out=logits)
+    return (own - top - np.log(logits.sum(axis=0))).astype(np.float64)
 
 
 class Below:
@@ -305,12 +312,14 @@ class Below:
         """By row of guess: the sum of normalised log10 probabilities of the nodes (at: their rows) among their siblings."""
         out, lo = np.zeros(len(guess)), self.tree.lo[node]
         order = np.argsort(lo, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(lo[order])) + 1) if len(order) else []:
-            first, last, rows = lo[part[0]], self.tree.hi[node[part[0]]], at[part]
-            logits = guess[rows] @ self.q[first:last].T + self.b[first:last]
-            own = logits[np.arange(len(part)), node[part] - first].astype(np.float64)
-            top = logits.max(axis=1, keepdims=True)
-            out[rows] += own - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1, dtype=np.float64))
+        lo, rows, node = lo[order], at[order], node[order]
+        near = guess[rows]
+        starts = np.flatnonzero(np.diff(lo, prepend=-1)).tolist()
+        found = np.empty(len(node))
+        for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
+            first, last = lo[start], self.tree.hi[node[start]]
+            found[start:end] = _log_softmax(self.q[first:last], self.b[first:last], near[start:end], node[start:end] - first)
+        out[rows] = found
         return out / np.log(10)
 
 
@@ -358,7 +367,8 @@ class Trainer:
     def learn(self, target: np.ndarray, context: np.ndarray, word: np.ndarray, words: np.ndarray) -> None:
         net, low, n = self.net, self.below, len(target)
         noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
-        guess = net.predicted(context) + low.added(net.p, words)
+        vectors = [net.r[context[:, i]] + low.e[words[:, i]] for i in range(CONTEXT)]
+        guess = sum(v * p for v, p in zip(vectors, net.p, strict=True))
         own, other = net.q[target], net.q[noise]
         up = _sigmoid(np.einsum("nw,nw->n", guess, own) + net.b[target] - self.offset[target]) - 1
         down = guess @ other.T
@@ -368,11 +378,11 @@ class Trainer:
         ids, errors, rows = [], [], []
         for at, node in nodes_of(low.tree, target, word):
             both = np.concatenate([node[:, None], low.tree.draw(node, self.rng)], axis=1)
-            vectors, here = low.q[both], guess[at]
-            gap = np.einsum("nkw,nw->nk", vectors, here) + low.b[both] - self.below_offset[both]
+            outputs, here = low.q[both], guess[at]
+            gap = np.einsum("nkw,nw->nk", outputs, here) + low.b[both] - self.below_offset[both]
             error = _sigmoid(gap)
             error[:, 0] -= 1
-            pull[at] += np.einsum("nk,nkw->nw", error, vectors)
+            pull[at] += np.einsum("nk,nkw->nw", error, outputs)
             ids.append(both.ravel())
             errors.append(error.ravel())
             rows.append((error[:, :, None] * here[:, None, :]).reshape(-1, WIDTH))
@@ -380,7 +390,7 @@ class Trainer:
         for i in range(CONTEXT):
             pulled = pull * net.p[i]
             grads[0] += _scatter(context[:, i], pulled, CLASSES + 1)
-            grads[1][i] = ((net.r[context[:, i]] + low.e[words[:, i]]) * pull).sum(axis=0)
+            grads[1][i] = np.einsum("nw,nw->w", vectors[i], pull)
         grads[2] = _scatter(target, up[:, None] * guess, CLASSES)
         np.add.at(grads[2], noise, down.T @ guess)
         grads[3] = np.bincount(target, up, CLASSES).astype(np.float32)
