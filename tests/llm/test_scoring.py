@@ -363,3 +363,28 @@ def test_quality_rules_on_odd_tables(spark, make_docs):
     assert linecrf.quality_rules(make_docs([]), none).collect() == []
     docs = make_docs(["a b c", None, "x\n" * 50_000], ids=[None, 1, 1]).withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit(3))
     assert sorted(r["n_words"] for r in linecrf.quality_rules(docs, none).collect()) == [0, 3, 50_000]
+
+
+def test_log_probabilities_against_a_slow_sum():
+    """A few tokens' probabilities from the definition: class, cell and word, each a full softmax."""
+    rng = np.random.default_rng(4)
+    group, count = np.sort(rng.integers(0, lm.GROUPS, 700)), rng.integers(1, 50, 700).astype(float)
+    tree = lm.Tree.of(group, count, rng.integers(0, 9, lm.GROUPS).astype(float))
+    draw = lambda *shape: rng.normal(size=shape).astype(np.float32)
+    net = lm.Network(draw(lm.CLASSES + 1, lm.WIDTH), draw(lm.CONTEXT, lm.WIDTH), draw(lm.CLASSES, lm.WIDTH), draw(lm.CLASSES))
+    below = lm.Below(tree, draw(len(tree.share) + 1, lm.WIDTH), draw(len(tree.share), lm.WIDTH), draw(len(tree.share)))
+    below.e[-1] = 0
+    word = rng.integers(-1, 700, 60)
+    target = np.where(word >= 0, lm.HEADS + group[word], rng.integers(0, lm.CLASSES, 60))
+    context, near = rng.integers(0, lm.CLASSES + 1, (60, lm.CONTEXT)), rng.integers(-1, 700, (60, lm.CONTEXT))
+    got = lm.log10(net, below, target, context, word, near)
+    for i in range(60):
+        r = sum((net.r[context[i, j]] + (below.e[near[i, j]] if near[i, j] >= 0 else 0)) * net.p[j] for j in range(lm.CONTEXT)).astype(float)
+        choose = lambda q, b, at: float(q[at] @ r + b[at] - math.log(sum(math.exp(float(x @ r + y)) for x, y in zip(q.astype(float), b.astype(float)))))  # noqa: B023, E731
+        want = choose(net.q, net.b, target[i])
+        if lm.HEADS <= target[i] < lm.END:
+            cell = tree.cell[word[i]] if word[i] >= 0 else tree.rest[target[i] - lm.HEADS]
+            for node in [cell, *([word[i]] if word[i] >= 0 else [])]:
+                lo, hi = tree.lo[node], tree.hi[node]
+                want += choose(below.q[lo:hi], below.b[lo:hi], node - lo)
+        assert got[i] == pytest.approx(want / math.log(10), abs=1e-4)

@@ -49,7 +49,7 @@ HEADS, GROUPS, CONTEXT, WIDTH = 111, 48, 3, 8
 #: Classes: heads, groups, end. One more number stands for what precedes a text.
 END = HEADS + GROUPS
 CLASSES = END + 1
-NOISE, BATCH, RATE = 32, 8192, 0.03
+NOISE, BATCH, RATE = 24, 16384, 0.03
 #: Words of a cell at most, and noise drawn for each word and each cell.
 CELL, NOISE_BELOW = 64, 2
 #: The first steps take so many tokens, every so many steps twice as many, up to BATCH.
@@ -76,21 +76,27 @@ def tokens(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def counts(texts: DataFrame) -> DataFrame:
     """h, g, c: every word's hash, group and number of occurrences in texts (text)."""
 
+    def merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, g, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, g, c = h[order], g[order], c[order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return pa.record_batch([pa.array(h[new]), pa.array(g[new].astype(np.int32)), pa.array(np.add.reduceat(c, new))], ["h", "g", "c"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
-            found = []
-            for piece in slices(batch.column(0)):
+            for piece in slices(batch.column(0), _SLICE):
                 h, g, _ = tokens(piece)
-                u, first, c = np.unique(h, return_index=True, return_counts=True)
-                found.append((u, g[first], c))
-            if not found:
-                continue
-            h, g, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, g, c = h[order], g[order], c[order]
-            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            if len(new):
-                yield pa.record_batch([pa.array(h[new]), pa.array(g[new].astype(np.int32)), pa.array(np.add.reduceat(c, new))], ["h", "g", "c"])
+                if len(h):
+                    u, first, c = np.unique(h, return_index=True, return_counts=True)
+                    found.append((u, g[first], c))
+                    held += len(u)
+            if held > _AT_ONCE * 8:  # words that a task holds before it sends their counts
+                yield merged(found)
+                found, held = [], 0
+        if found:
+            yield merged(found)
 
     partial = texts.select("text").mapInArrow(rows, "h bigint, g int, c bigint")
     return partial.groupBy("h").agg(F.min("g").alias("g"), F.sum("c").alias("c"))
@@ -311,6 +317,8 @@ class Below:
     def log10(self, guess: np.ndarray, at: np.ndarray, node: np.ndarray) -> np.ndarray:
         """By row of guess: the sum of normalised log10 probabilities of the nodes (at: their rows) among their siblings."""
         out, lo = np.zeros(len(guess)), self.tree.lo[node]
+        if not len(node):
+            return out
         order = np.argsort(lo, kind="stable")
         lo, rows, node = lo[order], at[order], node[order]
         near = guess[rows]
