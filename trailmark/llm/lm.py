@@ -55,8 +55,8 @@ CELL, NOISE_BELOW = 64, 2
 #: The first steps take so many tokens, every so many steps twice as many, up to BATCH.
 FIRST_BATCH, DOUBLING = 256, 64
 #: Most words whose counts go to every task; averaging goes through so many rows.
-TABLE, SLOTS = 1 << 17, 32
-_LEADING = 19
+TABLE, SLOTS = 1 << 16, 32
+_LEADING = 18
 #: Bytes of text and tokens that are looked at together: the more, the longer the matrices of each cell.
 _SLICE, _AT_ONCE = 1 << 22, 1 << 18
 
