@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def message_tokens(kind: str = "kind") -> F.Column:
-    """Tokens that a message takes in the context; a call takes those of its arguments."""
-    return F.when(F.col(kind) == "call", T.tokens(F.coalesce("args", F.lit("{}")))).otherwise(T.tokens(F.coalesce("text", F.lit(""))))
+def part_units(kind: str = "kind") -> F.Column:
+    """The length of what a row adds to its message; a call adds its arguments."""
+    return F.when(F.col(kind) == "call", T.units(F.coalesce("args", F.lit("{}")))).otherwise(T.units(F.coalesce("text", F.lit(""))))
+
+
+def with_message(messages: DataFrame) -> DataFrame:
+    """messages with msg, the number of the message that a row is part of; without one each row is its own."""
+    return messages if "msg" in messages.columns else messages.withColumn("msg", F.col("ord"))
 
 
 def paired(messages: DataFrame) -> DataFrame:
@@ -27,12 +32,19 @@ def paired(messages: DataFrame) -> DataFrame:
 
 
 def placed(messages: DataFrame) -> DataFrame:
-    """All messages with epoch (user messages so far) and upto (tokens up to and including this one)."""
+    """All messages with epoch (user messages so far) and upto (tokens up to and including this row).
+
+    A message's tokens are those of its parts joined by line feeds, rounded up
+    once; a row adds what they grow by.
+    """
     so_far = W.partitionBy("session").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    return messages.withColumns({
+    parts = W.partitionBy("session", "msg").orderBy("ord")
+    rounded = lambda end: F.ceil((F.sum(F.col("_units") + 1).over(parts.rowsBetween(W.unboundedPreceding, end)) - 1) / 4)
+    grown = with_message(messages).withColumn("_units", part_units()).withColumn("_grown", (rounded(0) - F.coalesce(rounded(-1), F.lit(0))).cast("bigint"))
+    return grown.withColumns({
         "epoch": F.sum(F.when(F.col("kind") == "user", 1).otherwise(0)).over(so_far),
-        "upto": F.sum(message_tokens()).over(so_far),
-    })
+        "upto": F.sum("_grown").over(so_far),
+    }).drop("_units", "_grown").select(*messages.columns, "epoch", "upto")
 
 
 def tool_events(messages: DataFrame) -> DataFrame:

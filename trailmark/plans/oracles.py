@@ -29,10 +29,12 @@ RESULTS = SQL + ", results AS (SELECT *, json_extract_string(args, '$.path') AS
 LINES = RESULTS + """, log_lines AS (
   SELECT session, ord, unnest(generate_series(1, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM results WHERE tool = 'bash'
 )"""
-PLACED = RESULTS + f""", placed AS (
-  SELECT *, CAST(sum(CASE WHEN kind = 'user' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS epoch,
-         CAST(sum(CASE WHEN kind = 'call' THEN {_tok('args')} ELSE {_tok('text')} END) OVER w AS BIGINT) AS upto
-  FROM messages WINDOW w AS (PARTITION BY session ORDER BY ord)
+PLACED = RESULTS + """, whole AS (
+  SELECT session, msg, max(ord) AS ord, ceil(length(string_agg(CASE WHEN kind = 'call' THEN args ELSE text END, chr(10) ORDER BY ord)) / 4.0) AS tokens
+  FROM messages GROUP BY session, msg
+), placed AS (
+  SELECT m.*, CAST(sum(CASE WHEN kind = 'user' THEN 1 ELSE 0 END) OVER v AS BIGINT) AS epoch, CAST(sum(coalesce(w.tokens, 0)) OVER v AS BIGINT) AS upto
+  FROM messages m LEFT JOIN whole w USING (session, ord) WINDOW v AS (PARTITION BY session ORDER BY ord)
 ), tool_events AS (
   SELECT r.*, p.epoch, p.upto, row_number() OVER (PARTITION BY r.session ORDER BY r.ord) - 1 AS seq FROM results r JOIN placed p USING (session, ord)
 )"""

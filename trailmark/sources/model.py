@@ -16,8 +16,8 @@ ENTRY = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
-#: One message or call. A tool call is a row of its own before its result: kind is user, text, call or result.
-MESSAGE = "session string, ord bigint, kind string, role string, call_id string, tool string, args string, text string, is_error boolean, text_only boolean"
+#: One message or call. A tool call is a row of its own before its result: kind is user, text, call or result; msg numbers the message it is part of.
+MESSAGE = "session string, ord bigint, kind string, role string, call_id string, tool string, args string, text string, is_error boolean, text_only boolean, msg bigint"
 
 LABELS = ("KEEP", "TRUNCATE", "DROP")
 PREDICTIONS = (*LABELS, "UNCERTAIN")

@@ -53,7 +53,7 @@ def messages(entries: DataFrame) -> DataFrame:
     rows = F.when(F.col("role") == "assistant", F.concat(F.when(said != "", note).otherwise(F.array().cast(_rows())), calls)).when(F.col("role") == "user", single("user", text_of(F.col("content")))).otherwise(single("result", text_of(F.col("content"))))
     only = F.col("content").startswith("[") & F.forall(F.coalesce("parts", F.array().cast(_parts())), lambda p: p["type"] == "text")
     found = shaped.select("session", (F.col("ord") * 1000).alias("base"), "role", F.posexplode(rows).alias("i", "m"), (get("$.isError") == "true").alias("e"), only.alias("text_only"))
-    return found.select("session", (F.col("base") + F.col("i")).alias("ord"), "m.kind", "role", "m.call_id", "m.tool", "m.args", "m.text", F.coalesce("e", F.lit(False)).alias("is_error"), F.coalesce("text_only", F.lit(False)).alias("text_only"))
+    return found.select("session", (F.col("base") + F.col("i")).alias("ord"), "m.kind", "role", "m.call_id", "m.tool", "m.args", "m.text", F.coalesce("e", F.lit(False)).alias("is_error"), F.coalesce("text_only", F.lit(False)).alias("text_only"), F.col("base").alias("msg"))
 
 
 def _parts() -> str:

@@ -2,7 +2,8 @@
 
 A user's events in time order are a session: signups are requests, purchases
 notes of the assistant, clicks and views reads of three files that change
-slowly, errors test and build runs with long logs. The same formula in SQL
+slowly, errors test and build runs with long logs; every fifth call's message
+says something before it. The same formula in SQL
 (``SQL``) lets another engine check every query over these sessions.
 """
 
@@ -50,22 +51,28 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     result = read | bash
     row = F.struct(
-        (F.col("pos") * 2).cast("bigint").alias("ord"),
+        (F.col("pos") * 4).cast("bigint").alias("ord"),
         F.when(F.col("event_type") == "signup", "user").when(result, "result").otherwise("text").alias("kind"),
         F.when(F.col("event_type") == "signup", "user").when(result, "toolResult").otherwise("assistant").alias("role"),
         text.alias("text"),
     )
-    call = F.struct((F.col("pos") * 2 - 1).cast("bigint").alias("ord"), F.lit("call").alias("kind"), F.lit("assistant").alias("role"), F.lit("").alias("text"))
+    call = F.struct((F.col("pos") * 4 - 1).cast("bigint").alias("ord"), F.lit("call").alias("kind"), F.lit("assistant").alias("role"), F.lit("").alias("text"))
+    said = F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" of the plan"))
+    note = F.struct((F.col("pos") * 4 - 2).cast("bigint").alias("ord"), F.lit("text").alias("kind"), F.lit("assistant").alias("role"), said.alias("text"))
+    spoken = F.col("event_id") % 5 == 0  # the call's message says something, too
     out = e.select(
         F.col("user_id").cast("string").alias("session"),
-        F.explode(F.when(result, F.array(call, row)).otherwise(F.array(row))).alias("m"),
+        F.explode(F.when(result & spoken, F.array(note, call, row)).when(result, F.array(call, row)).otherwise(F.array(row))).alias("m"),
         F.when(result, F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("call_id"),
         F.when(read, "read").when(bash, "bash").alias("tool"),
         args.alias("args"),
+        F.col("pos"),
         (bash & (F.col("k") % 4 == 0)).alias("is_error"),
         "ts",
     )
-    return out.select("session", "m.ord", "m.kind", "m.role", "call_id", "tool", "args", "m.text", (F.col("is_error") & (F.col("m.kind") == "result")).alias("is_error"), F.lit(True).alias("text_only"), "ts")
+    called = lambda c: F.when(F.col("m.kind").isin("call", "result"), F.col(c)).alias(c)
+    msg = F.when((F.col("m.role") == "assistant") & F.col("tool").isNotNull(), F.col("pos") * 4 - 1).otherwise(F.col("m.ord")).cast("bigint")
+    return out.select("session", "m.ord", "m.kind", "m.role", called("call_id"), called("tool"), called("args"), "m.text", (F.col("is_error") & (F.col("m.kind") == "result")).alias("is_error"), F.lit(True).alias("text_only"), "ts", msg.alias("msg"))
 
 
 #: The same messages in DuckDB, as the common table expression ``messages``.
@@ -90,13 +97,16 @@ WITH e AS (
                    WHEN j % 40 = 0 THEN '' ELSE 'PASS routine_case_' || j || ' completed with ordinary diagnostic padding' END), chr(10)) END AS body
   FROM made
 ), messages AS (
-  SELECT CAST(user_id AS VARCHAR) AS session, 2 * pos - 1 AS ord, 'call' AS kind, 'assistant' AS role, 'c' || event_id AS call_id,
-         CASE WHEN is_read THEN 'read' ELSE 'bash' END AS tool, args, '' AS text, false AS is_error, ts
+  SELECT CAST(user_id AS VARCHAR) AS session, 4 * pos - 1 AS ord, 'call' AS kind, 'assistant' AS role, 'c' || event_id AS call_id,
+         CASE WHEN is_read THEN 'read' ELSE 'bash' END AS tool, args, '' AS text, false AS is_error, ts, 4 * pos - 1 AS msg
   FROM filled WHERE is_read OR is_bash
   UNION ALL
-  SELECT CAST(user_id AS VARCHAR), 2 * pos, CASE WHEN event_type = 'signup' THEN 'user' WHEN is_read OR is_bash THEN 'result' ELSE 'text' END,
+  SELECT CAST(user_id AS VARCHAR), 4 * pos - 2, 'text', 'assistant', NULL, NULL, NULL, 'step ' || event_id || ' of the plan', false, ts, 4 * pos - 1
+  FROM filled WHERE (is_read OR is_bash) AND event_id % 5 = 0
+  UNION ALL
+  SELECT CAST(user_id AS VARCHAR), 4 * pos, CASE WHEN event_type = 'signup' THEN 'user' WHEN is_read OR is_bash THEN 'result' ELSE 'text' END,
          CASE WHEN event_type = 'signup' THEN 'user' WHEN is_read OR is_bash THEN 'toolResult' ELSE 'assistant' END,
          CASE WHEN is_read OR is_bash THEN 'c' || event_id END, CASE WHEN is_read THEN 'read' WHEN is_bash THEN 'bash' END,
-         args, body, is_bash AND k % 4 = 0, ts
+         args, body, is_bash AND k % 4 = 0, ts, 4 * pos
   FROM filled
 )"""

@@ -24,9 +24,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import text as X
 from ..functions.logs import u16
 from ..operators.dedupe import DEFAULT, RECALL, TAG, Freshness
+from ..operators.events import with_message
 
 OUTPUT = "session string, ord bigint, call_id string, status string, alias string, folded_lines int, original_tokens bigint, kept_tokens bigint, text string"
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+_NEEDED = ["session", "ord", "msg", "kind", "call_id", "tool", "args", "text", "is_error", "text_only"]
 _FOOTER = re.compile(X.FOOTER.replace(r"\z", r"\Z"), re.ASCII)
 _REFERENCE = re.compile(X.REFERENCE, re.ASCII)
 _NAMED = re.compile(r"[a-z][A-Z]|[A-Z]+_[A-Z]+|[A-Za-z0-9_][/.][A-Za-z0-9_]")
@@ -56,16 +58,24 @@ class Session:
         self.cfg, self.act = cfg, act
         s = state or {}
         self.epoch, self.upto, self.seq, self.last = s.get("epoch", 0), s.get("upto", 0), s.get("seq", 0), s.get("last", -1)
+        self.msg, self.units = s.get("msg"), s.get("units", 0)
         self.calls: dict[str, str] = s.get("calls", {})
         self.evidence: dict[str, list[dict[str, Any]]] = s.get("evidence", {})
 
     def state(self) -> dict[str, Any]:
-        return {"epoch": self.epoch, "upto": self.upto, "seq": self.seq, "last": self.last, "calls": self.calls, "evidence": self.evidence}
+        return {"epoch": self.epoch, "upto": self.upto, "seq": self.seq, "last": self.last, "msg": self.msg, "units": self.units, "calls": self.calls, "evidence": self.evidence}
 
     def _forget(self) -> None:
         fresh = {p: [e for e in es if self.upto - e["upto"] <= self.cfg.max_age][-self.cfg.max_earlier :] for p, es in self.evidence.items()}
         self.evidence = {p: es for p, es in fresh.items() if es}
 
+    def _grow(self, msg: int, part: str) -> None:
+        """A message's parts count as joined by line feeds and rounded up once."""
+        same = msg == self.msg
+        before = -(-self.units // 4) if same else 0
+        self.msg, self.units = msg, (self.units + 1 if same else 0) + u16(part)
+        self.upto += -(-self.units // 4) - before
+
     def take(self, m: Any) -> dict[str, Any] | None:
         """The next message; the outcome of a result."""
         if m.ord <= self.last:
@@ -79,7 +89,7 @@ class Session:
         if m.kind == "call":
             self.calls[m.call_id] = m.args or "{}"
         if m.kind != "result":
-            self.upto += tokens(self.calls[m.call_id] if m.kind == "call" else text)
+            self._grow(m.msg, self.calls[m.call_id] if m.kind == "call" else text)
             self._forget()
             return None
         args = json.loads(self.calls.pop(m.call_id, "{}"))
@@ -153,8 +163,7 @@ def replay(messages: DataFrame, cfg: Freshness = DEFAULT, act: bool = True) -> D
         found = [f for m in ordered.itertuples(index=False) if (f := session.take(m))]
         return _frame(frame["session"].iloc[0], found)
 
-    columns = ["session", "ord", "kind", "call_id", "tool", "args", "text", "is_error", "text_only"]
-    return messages.select(columns).groupBy("session").applyInPandas(one, OUTPUT)
+    return with_message(messages).select(_NEEDED).groupBy("session").applyInPandas(one, OUTPUT)
 
 
 class ReplayProcessor(StatefulProcessor):
@@ -180,15 +189,22 @@ class ReplayProcessor(StatefulProcessor):
 
 def replay_stream(messages: DataFrame, cfg: Freshness = DEFAULT, act: bool = True) -> DataFrame:
     """``replay`` of a streaming frame of messages. The state store must be RocksDB."""
-    columns = ["session", "ord", "kind", "call_id", "tool", "args", "text", "is_error", "text_only"]
-    return messages.select(columns).groupBy("session").transformWithStateInPandas(ReplayProcessor(cfg, act), OUTPUT, "Append", "None")
+    return with_message(messages).select(_NEEDED).groupBy("session").transformWithStateInPandas(ReplayProcessor(cfg, act), OUTPUT, "Append", "None")
+
 
+def originals_first(batch: DataFrame, number: int, originals: str, log: str) -> str | None:
+    """A foreachBatch sink: what is folded is stored before its decision is logged; a repeated batch replaces its own files.
 
-def originals_first(batch: DataFrame, number: int, originals: str, log: str) -> None:
-    """A foreachBatch sink: what is folded is stored before its decision is logged; a repeated batch replaces its own files."""
+    Originals must be stored, or the batch fails and is tried again. A log that
+    can't be written stops nothing: its error is returned.
+    """
     found = batch.persist()
     try:
         found.filter("status = 'folded'").select("session", "alias", "call_id", "ord", "text").write.mode("overwrite").parquet(f"{originals}/batch={number}")
-        found.drop("text").write.mode("overwrite").parquet(f"{log}/batch={number}")
+        try:
+            found.drop("text").write.mode("overwrite").parquet(f"{log}/batch={number}")
+        except Exception as e:  # noqa: BLE001  whatever the log's store says, the session goes on
+            return type(e).__name__
+        return None
     finally:
         found.unpersist()
