@@ -41,20 +41,26 @@ def line_flags(lines: DataFrame, line: str = "line") -> DataFrame:
     """lines with failure, warning, place, summary, frame, cont, start, seed, whole and blank."""
     x = F.col(line)
     any_case = lambda p: X.has(x, _ANY_CASE + p)
-    blank = X.blank(x)
-    frame, caused = any_case(STACK_FRAME), any_case(CAUSED)
-    failure = any_case(FAILURE)
-    return lines.withColumns({
-        "failure": failure,
+    # cheap tests first: a place has a colon, and so has a frame that does not begin with one of three words
+    colon = x.contains(":")
+    framed = F.when(colon | x.rlike(rf"(?i)^{X.WS}*(?:at|File|goroutine){X.WS}"), any_case(STACK_FRAME)).otherwise(F.lit(False))
+    tested = lines.withColumns({
+        "failure": any_case(FAILURE),
         "warning": any_case(WARNING),
-        "place": X.has(x, LOCATION),
+        "place": F.when(colon, X.has(x, LOCATION)).otherwise(F.lit(False)),
         "summary": any_case(SUMMARY),
-        "blank": blank,
-        "start": ~blank & (frame | caused),
-        "cont": ~blank & (frame | caused | x.rlike(rf"^{X.WS}")),
-        "seed": failure | any_case(STACK_START) | frame,
+        "blank": X.blank(x),
+        "_frame": framed,
+        "_caused": F.when(colon, any_case(CAUSED)).otherwise(F.lit(False)),
         "whole": any_case(WHOLE_TRACE),
     })
+    # what the patterns found is used here, so that none runs twice
+    start = ~F.col("blank") & (F.col("_frame") | F.col("_caused"))
+    return tested.withColumns({
+        "start": start,
+        "cont": start | (~F.col("blank") & x.rlike(rf"^{X.WS}")),
+        "seed": F.col("failure") | F.col("_frame") | any_case(STACK_START),
+    }).drop("_frame", "_caused")
 
 
 def regions(lines: DataFrame, keys: list[str], n: str = "n") -> DataFrame:

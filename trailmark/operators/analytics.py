@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import logs, shell
 from ..functions import text as X
 from . import sieve
-from .events import tool_events
+from .events import tool_events, with_message
 
 LONG = 3000
 
@@ -211,3 +211,12 @@ def sole_sources(messages: DataFrame, horizon: int = 120, least: int = 150) -> D
     sole = F.col("first_n").isNotNull() & (F.col("next_n").isNull() | (F.col("next_n") > F.col("c_n")))
     met = old.join(own.withColumn("first_n", F.col("n")), ["session", "n"], "left")
     return met.groupBy("session", "checkpoint", "ord", "tokens").agg(F.count_if(sole).alias("sole_facts"), F.count_if(sole & _used_within(F.col("c_n"), horizon)).alias("used_facts"))
+
+
+def future_text(messages: DataFrame, horizon: int = 80) -> DataFrame:
+    """Per result: what requests and the assistant say, and what calls ask, in the next messages: session, ord, future. Results say nothing."""
+    part = F.when(F.col("kind") == "call", F.coalesce("args", F.lit("{}"))).when(F.col("kind") == "result", "").otherwise(F.coalesce("text", F.lit("")))
+    parts = with_message(messages).groupBy("session", "msg").agg(F.max("ord").alias("ord"), F.max(F.col("kind") == "result").alias("is_result"), F.sort_array(F.collect_list(F.struct("ord", part.alias("part")))).alias("parts"))
+    said = parts.withColumn("said", F.array_join(F.transform("parts", lambda p: p["part"]), "\n")).drop("parts")
+    ahead = W.partitionBy("session").orderBy("ord").rowsBetween(1, horizon)
+    return said.withColumn("future", F.array_join(F.collect_list("said").over(ahead), "\n")).filter("is_result").select("session", "ord", "future")

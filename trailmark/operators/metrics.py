@@ -87,6 +87,62 @@ def unanimous(votes: DataFrame, by: list[str], vote: str = "pred") -> DataFrame:
     return votes.groupBy(*by).agg((F.count_distinct(F.coalesce(F.col(vote), F.lit("\0none"))) == 1).alias("unanimous"))
 
 
+def key_line_coverage(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """results (key, trimmed, kept_text, kept_tokens) with their case's truth, tokens, and its key lines: how many, and how many the kept text holds.
+
+    cases: key, truth, tokens, key_lines; a result without a case is left out.
+    """
+    met = results.join(cases, "key")
+    kept = F.size(F.filter("key_lines", lambda k: F.col("kept_text").contains(k)))
+    return met.withColumns({"key_total": F.size("key_lines").cast("bigint"), "key_kept": F.when(F.col("trimmed"), kept).otherwise(0).cast("bigint")})
+
+
+def write_time_summary(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """How often outputs that may be trimmed were, and others by mistake; key lines that survived; tokens before and after."""
+    met = key_line_coverage(cases, results)
+    trim, keep, trimmed = F.col("truth") == "TRIM", F.col("truth") == "KEEP", F.col("trimmed")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+    return met.agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(trim).alias("may_trim"), F.count_if(trim & trimmed).alias("trimmed"), F.count_if(keep).alias("must_keep"), F.count_if(keep & trimmed).alias("false_trims"),
+        total(F.when(trim & trimmed, F.col("key_total")), "key_lines"), total(F.when(trim & trimmed, F.col("key_kept")), "key_lines_kept"),
+        total(F.col("tokens"), "tokens_before"), total(F.when(trimmed, F.col("kept_tokens")).otherwise(F.col("tokens")), "tokens_after"),
+    )
+
+
+def hidden_sweep(blocks: DataFrame, drops: list[float], min_share: float = 0.3) -> DataFrame:
+    """Per threshold: outputs rewritten if blocks below it were hidden, hidden blocks and tokens, and the needed ones among them.
+
+    blocks: output, tokens, p, needed. An output is rewritten if the hidden
+    blocks hold min_share of its tokens at least. The thresholds are a literal array.
+    """
+    each = blocks.withColumn("drop", F.explode(F.array(*map(F.lit, drops))))
+    hidden = F.col("p") < F.col("drop")
+    per = each.groupBy("drop", "output").agg(
+        F.count_if(hidden).alias("h"), F.sum(F.when(hidden, F.col("tokens")).otherwise(0)).alias("h_tokens"), F.sum("tokens").alias("all_tokens"),
+        F.count_if(F.col("needed")).alias("n"), F.count_if(hidden & F.col("needed")).alias("n_hidden"),
+    )
+    done = (F.col("h") > 0) & (F.col("h_tokens") >= F.col("all_tokens") * min_share)
+    total = lambda c, name: F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("bigint").alias(name)
+    return per.groupBy("drop").agg(
+        F.count(F.lit(1)).alias("outputs"), F.count_if(done).alias("rewritten"), total("h", "hidden_blocks"), total("h_tokens", "hidden_tokens"),
+        F.sum("n").cast("bigint").alias("needed_blocks"), total("n_hidden", "needed_hidden"), F.count_if(done & (F.col("n_hidden") > 0)).alias("bad_outputs"),
+    )
+
+
+def top(rows: DataFrame, by: str, n: int, key: str) -> DataFrame:
+    """The n rows with the most of a column; ties go to the least key. The limit is the feature: a ranking."""
+    return rows.orderBy(F.desc(by), F.col(key)).limit(n)
+
+
+def markdown(frame: DataFrame, title: str, most: int = 1000) -> str:
+    """A report table of a small frame; a larger one is refused."""
+    rows = frame.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    lines = [frame.columns, ["---"] * len(frame.columns), *[["" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r] for r in rows]]
+    return f"## {title}\n\n" + "\n".join(f"| {' | '.join(x)} |" for x in lines) + "\n"
+
+
 def sweep(rows: DataFrame, grid: DataFrame, measures: dict[str, Column], by: list[str]) -> DataFrame:
     """Measures for each parameter row of grid: a small grid, sent to every task (checked to be at most 1,000 rows)."""
     if grid.limit(1001).count() > 1000:

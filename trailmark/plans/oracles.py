@@ -280,3 +280,50 @@ ORACLES = {
         SELECT tool, durable, superseded, exact_repeat, rule, CASE WHEN exact_repeat THEN 'DROP' WHEN guarded = 'DROP' AND durable AND NOT superseded THEN 'TRUNCATE' ELSE guarded END AS hybrid, count(*) AS n
         FROM facts JOIN decided USING (event_id) GROUP BY ALL""",
 }
+
+ORACLES["inv132_top_sessions"] = f"SELECT * FROM ({ORACLES['inv104_seen_savings']}) ORDER BY saved DESC, session LIMIT 5"
+ORACLES["inv132_top_tools"] = f"SELECT * FROM ({ORACLES['inv107_session_census']}) ORDER BY tokens DESC, tool LIMIT 10"
+ORACLES["inv118_hidden_blocks"] = """
+WITH blocks AS (SELECT event_id // 5 AS output, event_id % 400 + 1 AS tokens, ((event_id * 37) % 100) / 100.0 AS p, event_id % 7 = 0 AS needed FROM events),
+per AS (
+  SELECT d AS drop, output, count(*) FILTER (p < d) AS h, coalesce(sum(tokens) FILTER (p < d), 0) AS h_tokens, sum(tokens) AS all_tokens, count(*) FILTER (needed) AS n, count(*) FILTER (needed AND p < d) AS n_hidden
+  FROM blocks, (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.3, 0.5]) AS d) GROUP BY d, output
+), marked AS (SELECT *, h > 0 AND h_tokens >= all_tokens * 0.3 AS done FROM per)
+SELECT CAST(drop AS DOUBLE) AS drop, count(*) AS outputs, count(*) FILTER (done) AS rewritten, CAST(coalesce(sum(h) FILTER (done), 0) AS BIGINT) AS hidden_blocks, CAST(coalesce(sum(h_tokens) FILTER (done), 0) AS BIGINT) AS hidden_tokens,
+       CAST(sum(n) AS BIGINT) AS needed_blocks, CAST(coalesce(sum(n_hidden) FILTER (done), 0) AS BIGINT) AS needed_hidden, count(*) FILTER (done AND n_hidden > 0) AS bad_outputs
+FROM marked GROUP BY drop"""
+ORACLES["inv122_write_time"] = f"""
+WITH met AS (
+  SELECT quality = 1 AS keep, {_tok('text')} AS tokens, list_filter(string_split(text, chr(10))[1:3], lambda x: x <> '') AS keys, doc_id % 3 <> 0 AS trimmed, substr(text, 1, 400) AS kept
+  FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL
+)
+SELECT count(*) AS calls, count(*) FILTER (NOT keep) AS may_trim, count(*) FILTER (NOT keep AND trimmed) AS trimmed, count(*) FILTER (keep) AS must_keep, count(*) FILTER (keep AND trimmed) AS false_trims,
+       CAST(coalesce(sum(len(keys)) FILTER (NOT keep AND trimmed), 0) AS BIGINT) AS key_lines, CAST(coalesce(sum(len(list_filter(keys, lambda x: contains(kept, x)))) FILTER (NOT keep AND trimmed), 0) AS BIGINT) AS key_lines_kept,
+       CAST(sum(tokens) AS BIGINT) AS tokens_before, CAST(sum(CASE WHEN trimmed THEN {_tok('kept')} ELSE tokens END) AS BIGINT) AS tokens_after
+FROM met"""
+ORACLES["inv103_future_text"] = SQL + """, whole AS (
+  SELECT session, msg, max(ord) AS ord, bool_or(kind = 'result') AS is_result, string_agg(CASE kind WHEN 'call' THEN args WHEN 'result' THEN '' ELSE text END, chr(10) ORDER BY ord) AS said
+  FROM messages GROUP BY session, msg
+), ahead AS (SELECT *, coalesce(string_agg(said, chr(10)) OVER (PARTITION BY session ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), '') AS future FROM whole)
+SELECT session, ord, md5(future) AS digest FROM ahead WHERE is_result"""
+ORACLES["inv125_would_save"] = """
+WITH newest AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id DESC) AS place, (['DROP', 'TRUNCATE', 'KEEP'])[event_id % 3 + 1] AS decision, event_id % 400 AS tokens FROM events
+)
+SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS calls, count(*) FILTER (decision = 'DROP') AS drops, count(*) FILTER (decision = 'TRUNCATE') AS truncations,
+       CAST(sum(CASE decision WHEN 'DROP' THEN greatest(0, tokens - 40) WHEN 'TRUNCATE' THEN greatest(0, tokens - 150) ELSE 0 END) AS BIGINT) AS would_save
+FROM newest WHERE place = 1 GROUP BY user_id"""
+ORACLES["inv73_later_relations"] = PLACED + """, keyed AS (
+  SELECT session, seq, tool, CASE WHEN tool = 'read' THEN 'file:' || path WHEN regexp_matches(command, '^(?:npm|pnpm|yarn|npx|bun)\\s') THEN 'bash:' || array_to_string(string_split(command, ' ')[1:2], ' ') ELSE 'bash:' || command END AS key FROM tool_events
+), newest AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY session, key ORDER BY seq DESC) <= 6)
+SELECT a.session, CASE WHEN b.tool IN ('edit', 'write') THEN 'the same file was modified later' WHEN a.tool = 'read' AND b.tool = 'read' THEN 'the same file was read again later'
+       WHEN a.tool = 'bash' THEN 'the same command was run again later' ELSE 'the same lookup was repeated later' END AS relation, count(*) AS n
+FROM keyed a JOIN newest b ON a.session = b.session AND a.key = b.key AND b.seq > a.seq GROUP BY ALL"""
+ORACLES["inv121_misjudgements"] = """
+WITH rows AS (
+  SELECT lang AS category, CAST(doc_id AS VARCHAR) AS key, CASE WHEN toxic = 1 THEN 'DROP' WHEN quality = 1 THEN 'KEEP' ELSE 'TRUNCATE' END AS truth,
+         CASE WHEN doc_id % 11 = 0 THEN 'UNCERTAIN' WHEN doc_id % 5 = 0 THEN 'DROP' WHEN doc_id % 3 = 0 THEN 'TRUNCATE' ELSE 'KEEP' END AS pred,
+         CASE WHEN toxic = 1 THEN ['DROP'] WHEN doc_id % 2 = 0 THEN ['KEEP', 'TRUNCATE'] ELSE ['KEEP'] END AS acceptable, doc_id % 4 = 0 AS critical
+  FROM labels JOIN documents USING (doc_id)
+)
+SELECT category, key, truth, pred, critical AND pred = 'DROP' AS critical_drop, count(*) AS n FROM rows WHERE NOT list_contains(acceptable, pred) GROUP BY ALL"""

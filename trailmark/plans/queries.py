@@ -370,6 +370,39 @@ def trimmed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bash.select("session", "ord", "t.*")
 
 
+def top_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-132: the five sessions that save most."""
+    return metrics.top(dedupe.savings(synth.sessions(spark, sf_dir)), "saved", 5, "session")
+
+
+def top_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-132: the ten tools with the most tokens."""
+    return metrics.top(analytics.session_census(synth.sessions(spark, sf_dir)), "tokens", 10, "tool")
+
+
+def hidden_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-118: thresholds for hiding blocks, with the needed blocks they hide; blocks by formula, five to an output."""
+    i = F.col("event_id")
+    blocks = _table(spark, sf_dir, "events").select(F.floor(i / 5).alias("output"), (i % 400 + 1).alias("tokens"), ((i * 37) % 100 / 100.0).alias("p"), (i % 7 == 0).alias("needed"))
+    return metrics.hidden_sweep(blocks, [0.05, 0.1, 0.15, 0.2, 0.3, 0.5])
+
+
+def write_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-10, 80, 82, 122: labelled documents as cases, results by formula."""
+    docs = _table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    first = F.filter(F.slice(X.pieces(F.col("text")), 1, 3), lambda x: x != "")
+    cases = docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select(
+        F.col("doc_id").alias("key"), F.when(F.col("quality") == 1, "KEEP").otherwise("TRIM").alias("truth"), X.tokens(F.col("text")).alias("tokens"), first.alias("key_lines"))
+    kept = F.substring("text", 1, 400)
+    results = docs.select(F.col("doc_id").alias("key"), (F.col("doc_id") % 3 != 0).alias("trimmed"), kept.alias("kept_text"), X.tokens(kept).alias("kept_tokens"))
+    return metrics.write_time_summary(cases, results)
+
+
+def future_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-103."""
+    return analytics.future_text(synth.sessions(spark, sf_dir), 10).select("session", "ord", F.md5("future").alias("digest"))
+
+
 QUERIES = {
     "inv20_text_measures": text_measures, "inv25_call_summaries": call_summaries, "inv27_outcome_lines": outcome_lines, "inv28_line_priorities": line_priorities,
     "inv31_hidden_references": hidden_references, "inv35_document_words": document_words, "inv37_request_terms": request_terms, "inv41_command_kinds": command_kinds,
@@ -380,5 +413,6 @@ QUERIES = {
     "inv111_confusion": confusion_matrix, "inv112_metric_summary": metric_summary, "inv113_majority_votes": majority_votes, "inv114_percentiles": percentiles, "inv115_floor_quantiles": floor_quantiles,
     "inv119_threshold_sweep": threshold_sweep, "inv120_regret_cuts": regret_cuts, "inv123_telemetry": telemetry, "inv125_would_save": would_save, "inv121_misjudgements": misjudgements, "inv46_no_longer": no_longer, "inv126_notable_lines": notable_lines, "inv127_recall_reads": recall_reads,
     "inv138_folded_reads": folded_reads, "inv140_sieve_plan": sieve_plan, "inv142_recall_documents": recall_documents, "inv144_policies": policies, "inv146_hybrid_policies": hybrid_policies, "inv77_facts_used": facts_used, "inv78_block_facts": block_facts, "inv79_sole_sources": sole_sources,
+    "inv132_top_sessions": top_sessions, "inv132_top_tools": top_tools, "inv118_hidden_blocks": hidden_blocks, "inv122_write_time": write_time, "inv103_future_text": future_text,
     "inv17_exact_replay": exact_replay, "inv162_shadow_replay": shadow_replay, "inv95_log_chunks": log_chunks, "inv100_trimmed_outputs": trimmed_outputs,
 }
