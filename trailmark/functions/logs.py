@@ -72,7 +72,8 @@ def regions(lines: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """
     flagged = line_flags(lines)
     order = W.partitionBy(*keys).orderBy(n)
-    after = order.rowsBetween(1, W.unboundedFollowing)
+    # from the end on: a frame that grows is summed up once, one that shrinks anew for every row
+    after = W.partitionBy(*keys).orderBy(F.desc(n)).rowsBetween(W.unboundedPreceding, -1)
     far = F.lit(1 << 60)
     next_blank = F.coalesce(F.min(F.when(F.col("blank"), F.col(n))).over(after), far)
     next_other = F.coalesce(F.min(F.when(~F.col("cont"), F.col(n))).over(after), far)

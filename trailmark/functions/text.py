@@ -127,11 +127,12 @@ def related_key(name: Column, args: Column) -> Column:
 
 def outcome_line(output: Column, is_error: Column) -> Column:
     """The line that says what happened, and how many more there are."""
-    lines = F.filter(F.transform(pieces(output), trim), lambda x: x != "")
-    first = lambda p: F.try_element_at(F.filter(lines, lambda x: x.rlike(java(p))), F.lit(1))
-    pick = F.coalesce(F.when(is_error, first(NOTABLE)), first(OUTCOME), F.try_element_at(lines, F.lit(1)))
-    more = F.when(F.size(lines) > 1, F.concat(F.lit(" (+"), (F.size(lines) - 1).cast("string"), F.lit(" lines)"))).otherwise("")
-    return F.when(F.size(lines) == 0, "(no output)").otherwise(F.concat(truncate(pick, 160), more))
+    full = F.filter(pieces(output), lambda x: ~blank(x))
+    first = lambda p: trim(F.try_element_at(F.filter(full, lambda x: trim(x).rlike(java(p))), F.lit(1)))
+    pick = F.coalesce(F.when(is_error, first(NOTABLE)), first(OUTCOME), trim(F.try_element_at(full, F.lit(1))))
+    size = F.size(full)
+    more = F.when(size > 1, F.concat(F.lit(" (+"), (size - 1).cast("string"), F.lit(" lines)"))).otherwise("")
+    return F.when(size == 0, "(no output)").otherwise(F.concat(truncate(pick, 160), more))
 
 
 def line_priority(line: Column) -> Column:

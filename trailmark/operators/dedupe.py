@@ -131,7 +131,7 @@ def plan(messages: DataFrame, cfg: Freshness = DEFAULT) -> DataFrame:
 
 def savings(messages: DataFrame, cfg: Freshness = DEFAULT) -> DataFrame:
     """Per session: reads, read tokens, folded reads, tokens saved."""
-    events = tool_events(messages).filter("tool = 'read'").groupBy("session").agg(F.count(F.lit(1)).alias("reads"), F.sum(T.tokens(F.col("text"))).alias("read_tokens"))
+    events = messages.filter("kind = 'result' and tool = 'read'").groupBy("session").agg(F.count(F.lit(1)).alias("reads"), F.sum(T.tokens(F.col("text"))).alias("read_tokens"))
     done = plan(messages, cfg).groupBy("session").agg(F.count(F.lit(1)).alias("collapsed"), F.sum(F.col("original_tokens") - F.col("kept_tokens")).alias("saved"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return events.join(done, "session", "left").select("session", "reads", "read_tokens", zero("collapsed"), zero("saved"))

@@ -20,7 +20,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages: session, ord, kind, role, call_id, tool, args, text, is_error, ts."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
     k = F.get_json_object("props", "$.k").cast("int")
-    at = W.partitionBy("user_id").orderBy("ts", "event_id")
+    # dealt by session once, while rows are narrow: the texts below are made where all later windows need them,
+    # in as many tasks as the session asks for, which a size measured here would not suggest
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = events.withColumn("session", F.col("user_id").cast("string")).repartition(tasks, "session")
+    at = W.partitionBy("session").orderBy("ts", "event_id")
     e = events.withColumns({"k": k, "ver": F.floor(F.col("event_id") / 2500).cast("bigint"), "pos": F.row_number().over(at)})
     read, bash = F.col("event_type").isin("click", "view"), F.col("event_type") == "error"
     path = F.concat(F.lit("src/f"), (F.col("k") % 3).cast("string"), F.lit(".ts"))
@@ -61,7 +65,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.struct((F.col("pos") * 4 - 2).cast("bigint").alias("ord"), F.lit("text").alias("kind"), F.lit("assistant").alias("role"), said.alias("text"))
     spoken = F.col("event_id") % 5 == 0  # the call's message says something, too
     out = e.select(
-        F.col("user_id").cast("string").alias("session"),
+        "session",
         F.explode(F.when(result & spoken, F.array(note, call, row)).when(result, F.array(call, row)).otherwise(F.array(row))).alias("m"),
         F.when(result, F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("call_id"),
         F.when(read, "read").when(bash, "bash").alias("tool"),
