@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions import logs
-from trailmark.operators import analytics, dedupe, events
+from trailmark.operators import analytics, dedupe, events, metrics
 from trailmark.sources import model, sessions
 from trailmark.streaming import replay
 
-COLUMNS = model.MESSAGE
+COLUMNS = model.MESSAGE.removesuffix(", msg bigint")
 
 
 def file_lines(a, b, edit=None):
@@ -255,3 +255,30 @@ def test_content_runs_go_on_over_blank_lines(spark):
     text = "\n".join("" if i % 20 == 0 else f"line {i}" for i in range(200))
     found = dedupe.reads(spark.createDataFrame(session(("user", "go"), ("read", "a", "f.ts", 0, text), ("read", "b", "f.ts", 0, text)), COLUMNS))
     assert [tuple(r)[2:] for r in dedupe.content_runs(found, dedupe.evidence(found)).collect()] == [(1, 1, 200, 1)]
+
+
+def test_a_message_of_several_parts_is_rounded_once(spark):
+    """9 + 1 + 9 characters are five tokens, not three and three."""
+    rows = [("s", 1, "user", "user", None, None, None, "123456789", False, True, 1), ("s", 2, "text", "assistant", None, None, None, "123456789", False, True, 2), ("s", 3, "call", "assistant", "c", "read", '{"a":"b"}', "", False, True, 2), ("s", 4, "result", "toolResult", "c", "read", None, "1234", False, True, 4)]
+    placed = events.placed(spark.createDataFrame(rows, model.MESSAGE)).orderBy("ord").collect()
+    assert [r["upto"] for r in placed] == [3, 6, 8, 9]
+    session = replay.Session()
+    for r in spark.createDataFrame(rows, model.MESSAGE).orderBy("ord").toPandas().itertuples(index=False):
+        session.take(r)
+    assert session.upto == 9
+
+
+def test_a_log_that_cannot_be_written_stops_nothing(spark, tmp_path):
+    (tmp_path / "log").write_text("a file, not a folder")
+    batch = spark.createDataFrame([("s", 1, "c", "folded", "t1", 1, 9, 3, "kept")], replay.OUTPUT)
+    assert replay.originals_first(batch, 0, str(tmp_path / "originals"), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "originals")).count() == 1
+
+
+def test_future_text_and_ranking(spark):
+    rows = [("s", 1, "result", "toolResult", "c", "read", None, "seen", False, True, 1), ("s", 2, "text", "assistant", None, None, None, "a", False, True, 2), ("s", 3, "call", "assistant", "d", "read", "{}", "", False, True, 2), ("s", 4, "result", "toolResult", "d", "read", None, "more", False, True, 4), ("s", 5, "user", "user", None, None, None, "b", False, True, 5)]
+    got = {r["ord"]: r["future"] for r in analytics.future_text(spark.createDataFrame(rows, model.MESSAGE), 2).collect()}
+    assert got == {1: "a\n{}\n", 4: "b"}
+    ranks = spark.createDataFrame([("b", 2), ("a", 2), ("c", 1)], "k string, v int")
+    assert [r["k"] for r in metrics.top(ranks, "v", 2, "k").collect()] == ["a", "b"]
+    assert metrics.markdown(metrics.top(ranks, "v", 1, "k"), "Best") == "## Best\n\n| k | v |\n| --- | --- |\n| a | 2 |\n"

@@ -99,7 +99,7 @@ class Session:
         if m.tool == "read" and not m.is_error and m.text_only:
             try:
                 found = self._read(args, text, m.call_id, alias)
-            except (TypeError, ValueError) as e:  # a strange argument must not stop the session: the original stays
+            except (AttributeError, TypeError, ValueError) as e:  # a strange argument must not stop the session: the original stays
                 found = {"status": f"error: {type(e).__name__}"}
         if found and found["status"] == "folded" and self.act:
             text = found["text"]
