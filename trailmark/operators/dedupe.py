@@ -68,17 +68,23 @@ def evidence(found: DataFrame, cfg: Freshness = DEFAULT) -> DataFrame:
 
 
 def matched_runs(found: DataFrame, pairs: DataFrame, min_run: int = DEFAULT.min_run) -> DataFrame:
-    """Runs of at least min_run equal lines at equal places: session, ord, rank, e_ord, from, to (in the arriving text)."""
+    """Runs of at least min_run equal lines at equal places: session, ord, rank, e_ord, from, to (in the arriving text).
+
+    The two texts of a pair are compared as arrays in place: no line is shuffled.
+    """
     side = found.select("session", "ord", "first", "body")
-    late = pairs.join(side, ["session", "ord"]).select("session", "ord", "rank", "e_ord", F.col("first"), F.posexplode(T.pieces(F.col("body"))).alias("i", "line"))
-    late = late.withColumn("n", F.col("first") + F.col("i"))
-    early_side = side.select("session", F.col("ord").alias("e_ord"), F.col("first").alias("e_first"), F.col("body").alias("e_body"))
-    early = pairs.join(early_side, ["session", "e_ord"]).select("session", "ord", "rank", F.col("e_first"), F.posexplode(T.pieces(F.col("e_body"))).alias("j", "e_line"))
-    early = early.select("session", "ord", "rank", (F.col("e_first") + F.col("j")).alias("n"), "e_line")
-    both = late.join(early, ["session", "ord", "rank", "n"]).filter("line = e_line")
-    island = F.col("i") - F.row_number().over(W.partitionBy("session", "ord", "rank").orderBy("i"))
-    runs = both.withColumn("island", island).groupBy("session", "ord", "rank", "e_ord", "island").agg((F.min("i") + 1).alias("from"), (F.max("i") + 1).alias("to"))
-    return runs.filter(F.col("to") - F.col("from") + 1 >= min_run).drop("island")
+    early = side.select("session", F.col("ord").alias("e_ord"), F.col("first").alias("e_first"), F.col("body").alias("e_body"))
+    both = pairs.select("session", "ord", "rank", "e_ord").join(side, ["session", "ord"]).join(early, ["session", "e_ord"])
+    both = both.withColumns({"lines": T.pieces(F.col("body")), "e_lines": T.pieces(F.col("e_body")), "shift": (F.col("first") - F.col("e_first")).cast("int")})
+    # the earlier lines are moved to the places of the later ones, so both arrays are read once, side by side
+    none = F.array_repeat(F.lit(None).cast("string"), F.greatest(-F.col("shift"), F.lit(0)))
+    moved = F.concat(none, F.slice("e_lines", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("lines")))
+    equal = both.select("session", "ord", "rank", "e_ord", F.zip_with("lines", moved, lambda x, y: F.coalesce(x == y, F.lit(False))).alias("same")).filter(F.exists("same", lambda x: x))
+    edges = lambda beside: F.filter(F.transform(F.zip_with("same", beside, lambda x, y: x & ~F.coalesce(y, F.lit(False))), lambda x, i: F.when(x, i + 1)), lambda n: n.isNotNull())
+    starts, ends = edges(F.concat(F.array(F.lit(False)), "same")), edges(F.slice("same", F.lit(2), F.size("same")))
+    runs = equal.withColumn("run", F.explode(F.arrays_zip(starts.alias("from"), ends.alias("to"))))
+    runs = runs.select("session", "ord", "rank", "e_ord", F.col("run.from").alias("from"), F.col("run.to").alias("to"))
+    return runs.filter(F.col("to") - F.col("from") + 1 >= min_run)
 
 
 def chosen_runs(runs: DataFrame) -> DataFrame:
