@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
+from .memo import Memo
 
 # Patterns of failures, warnings, locations, summaries and stack traces, and block headings.
 FAILURE = r"\b(?:ERROR|FAIL|FAILED|Traceback|panic|fatal)\b|(?:Error|Exception)\b|[✗×✕✖✘❌]"
@@ -117,22 +119,49 @@ def u16(s: str) -> int:
     return len(s) if s.isascii() else len(s.encode("utf-16-le", "surrogatepass")) // 2
 
 
+class Line(NamedTuple):
+    """What the rules ask of a line by itself; soft: the reason to keep it that is neither a failure nor a stack trace."""
+
+    units: int
+    blank: bool
+    heading: bool
+    start: bool
+    cont: bool
+    seed: bool
+    whole: bool
+    failed: bool
+    soft: str | None
+
+
+def _line(x: str) -> Line:
+    blank, frame, failed = bool(_BLANK.match(x)), bool(_FRAME.match(x)), bool(_FAILURE.search(x))
+    start = not blank and (frame or bool(_CAUSED.match(x)))
+    cont = start or (not blank and bool(_INDENT.match(x)))
+    soft = next((name for p, name in ((_WARNING, "warning"), (_LOCATION, "diagnostic location"), (_SUMMARY, "summary")) if p.search(x)), None)
+    return Line(u16(x), blank, bool(_HEADING.match(x)), start, cont, failed or frame or bool(_START.search(x)), bool(_WHOLE.search(x)), failed, soft)
+
+
+#: Lines of logs come again and again: the patterns run once for each of late.
+_LINES = Memo(_line)
+
+
 def stack_lines(lines: list[str]) -> list[bool]:
     """``regions`` for the lines of one output."""
+    return _stacked([_LINES[x] for x in lines])
+
+
+def _stacked(lines: list[Line]) -> list[bool]:
     n = len(lines)
-    blank = [bool(_BLANK.match(x)) for x in lines]
-    start = [not b and bool(_FRAME.match(x) or _CAUSED.match(x)) for x, b in zip(lines, blank, strict=True)]
-    cont = [s or (not b and bool(_INDENT.match(x))) for x, s, b in zip(lines, start, blank, strict=True)]
     next_blank, next_other = [n] * (n + 1), [n] * (n + 1)
     for i in range(n - 1, -1, -1):
-        next_blank[i] = i if blank[i] else next_blank[i + 1]
-        next_other[i] = next_other[i + 1] if cont[i] else i
+        next_blank[i] = i if lines[i].blank else next_blank[i + 1]
+        next_other[i] = next_other[i + 1] if lines[i].cont else i
     out, furthest = [], -1
     for i, x in enumerate(lines):
-        if _FAILURE.search(x) or _START.search(x) or _FRAME.match(x):
-            if _WHOLE.search(x):
+        if x.seed:
+            if x.whole:
                 reach = next_blank[i + 1] - 1
-            elif i + 1 < n and start[i + 1]:
+            elif i + 1 < n and lines[i + 1].start:
                 reach = next_other[i + 1] - 1
             else:
                 reach = i
@@ -143,18 +172,18 @@ def stack_lines(lines: list[str]) -> list[bool]:
 
 def reasons(lines: list[str]) -> list[str | None]:
     """``keep_reason`` for the lines of one output."""
-    stack = stack_lines(lines)
-    failed = [bool(_FAILURE.search(x)) for x in lines]
+    return _reasons([_LINES[x] for x in lines])
+
+
+def _reasons(lines: list[Line]) -> list[str | None]:
+    stack = _stacked(lines)
     upto = [0]
-    for f in failed:
-        upto.append(upto[-1] + f)
+    for x in lines:
+        upto.append(upto[-1] + x.failed)
     out: list[str | None] = []
     for i, x in enumerate(lines):
-        rules = ((stack[i], "stack trace"), (failed[i], "failure"))
-        found = next((name for hit, name in rules if hit), None)
-        found = found or next((name for p, name in ((_WARNING, "warning"), (_LOCATION, "diagnostic location"), (_SUMMARY, "summary")) if p.search(x)), None)
         near = upto[min(len(lines), i + NEAR + 1)] > upto[max(0, i - NEAR)]
-        out.append(found or ("failure context" if near else None))
+        out.append("stack trace" if stack[i] else "failure" if x.failed else x.soft or ("failure context" if near else None))
     return out
 
 
@@ -174,12 +203,30 @@ def split_blocks(text: str, block_units: int = 1500, max_blocks: int = 64) -> li
     and incomplete. None if there are more than max_blocks.
     """
     lines = text.split("\n")
+    known = [_LINES[x] for x in lines]
+    spans = _block_spans(known, block_units, max_blocks)
+    if spans is None:
+        return None
+    why = _reasons(known)
+    out: list[dict] = []
+    for at, end, complete in spans:
+        own = [w for w in why[at:end] if w]
+        body = "\n".join(lines[at:end])
+        out.append({"id": f"b{len(out) + 1}", "from": at + 1, "to": end, "text": body, "complete": complete, "hard": bool(own), "reason": own[0] if own else None})
+    return out
+
+
+def block_spans(lines: list[str], block_units: int = 1500, max_blocks: int = 64) -> list[tuple[int, int, bool]] | None:
+    """The first line, the line behind the last one, and whether it is complete, of each of the blocks of ``split_blocks``."""
+    return _block_spans([_LINES[x] for x in lines], block_units, max_blocks)
+
+
+def _block_spans(lines: list[Line], block_units: int, max_blocks: int) -> list[tuple[int, int, bool]] | None:
     ends = [0]
     for x in lines:
-        ends.append(ends[-1] + u16(x) + 1)
-    cut = _last_true([bool(_BLANK.match(x) or _HEADING.match(x)) for x in lines])
-    why = reasons(lines)
-    out: list[dict] = []
+        ends.append(ends[-1] + x.units + 1)
+    cut = _last_true([x.blank or x.heading for x in lines])
+    out: list[tuple[int, int, bool]] = []
     at = 0
     while at < len(lines):
         end = bisect_right(ends, ends[at] + block_units + 1) - 1
@@ -189,9 +236,7 @@ def split_blocks(text: str, block_units: int = 1500, max_blocks: int = 64) -> li
             end = cut[end - 1]
         if len(out) == max_blocks:
             return None
-        own = [w for w in why[at:end] if w]
-        body = "\n".join(lines[at:end])
-        out.append({"id": f"b{len(out) + 1}", "from": at + 1, "to": end, "text": body, "complete": complete, "hard": bool(own), "reason": own[0] if own else None})
+        out.append((at, end, complete))
         at = end
     return out
 
@@ -205,11 +250,12 @@ def chunks(text: str) -> list[dict]:
     The boundary rule follows a published chunker under the MIT licence (see NOTICE).
     """
     lines = text.split("\n")
-    stack = stack_lines(lines)
+    known = [_LINES[x] for x in lines]
+    stack = _stacked(known)
     n = len(lines)
     next_blank = [n] * (n + 1)
     for i in range(n - 1, -1, -1):
-        next_blank[i] = i if _BLANK.match(lines[i]) else next_blank[i + 1]
+        next_blank[i] = i if known[i].blank else next_blank[i + 1]
     out, at = [], 0
     while at < n:
         end = min(n, at + CHUNK)
@@ -230,9 +276,12 @@ BLOCKS = T.ArrayType(T.StructType([
 CHUNKS = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
+_BLOCKS_OF = Memo(split_blocks)
+
+
 @F.pandas_udf(BLOCKS)
 def blocks_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: split_blocks(t or ""))
+    return texts.map(lambda t: _BLOCKS_OF[t or ""])
 
 
 @F.pandas_udf(CHUNKS)

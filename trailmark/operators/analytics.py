@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import logs, shell
+from ..functions import shell
 from ..functions import text as X
-from . import sieve
+from . import facts, sieve
 from .events import tool_events, with_message
 
 LONG = 3000
@@ -181,20 +181,10 @@ def _used_within(after: F.Column, horizon: int) -> F.Column:
 
 def block_facts(messages: DataFrame, horizon: int = 80) -> DataFrame:
     """Per block of a command's output: the facts that neither another of its blocks nor an earlier message holds, and how many of them were used before another result gave them again."""
-    blocks = messages.filter("kind = 'result' and tool = 'bash'").select("session", "ord", F.explode(logs.blocks_of("text")).alias("b")).select("session", "ord", F.col("b.id").alias("block"), F.col("b.text").alias("text"))
-    each = blocks.select("session", "ord", "block", F.explode(X.facts(F.col("text"))).alias("fact"))
-    alone = each.groupBy("session", "ord", "fact").agg(F.count(F.lit(1)).alias("blocks"), F.min("block").alias("block")).filter("blocks = 1")
-    # a fact may be cut at a block's end: what earlier messages hold is then looked up by the cut fact
-    place = _numbered(messages).select("session", "ord", "n")
-    text = F.when(F.col("kind") == "call", F.coalesce("args", F.lit("{}"))).otherwise(F.coalesce("text", F.lit("")))
-    holders = _numbered(messages).select("session", "n", "kind", F.explode(X.facts(text)).alias("fact"))
-    met = alone.join(place, ["session", "ord"]).join(holders.select("session", "fact", F.col("n").alias("h_n"), F.col("kind").alias("h_kind")), ["session", "fact"], "left")
-    later = F.when(F.col("h_n") > F.col("n"), F.struct("h_n", "h_kind"))
-    one = met.groupBy("session", "ord", "block", "fact", "n").agg(F.coalesce(F.max(F.col("h_n") < F.col("n")), F.lit(False)).alias("before"), F.min(later).alias("next"))
-    new = one.filter(~F.col("before")).withColumns({"next_n": F.col("next.h_n"), "next_kind": F.col("next.h_kind")})
-    counts = new.groupBy("session", "ord", "block").agg(F.count(F.lit(1)).alias("own_facts"), F.count_if(_used_within(F.col("n"), horizon)).alias("used_facts"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return blocks.select("session", "ord", "block").join(counts, ["session", "ord", "block"], "left").select("session", "ord", "block", zero("own_facts"), zero("used_facts"))
+    found = facts.uses(messages, by_block=True).filter("blocks > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
+    own = lambda u: u["block"] == F.col("i")
+    used = facts.counted("uses", lambda u: own(u) & facts.used_within(u, F.col("n"), horizon))
+    return found.select("session", "ord", F.concat(F.lit("b"), F.col("i").cast("string")).alias("block"), facts.counted("uses", own).alias("own_facts"), used.alias("used_facts"))
 
 
 def sole_sources(messages: DataFrame, horizon: int = 120, least: int = 150) -> DataFrame:
