@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions import logs
@@ -49,6 +50,14 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("horizon", [7, 80])
+def test_facts_used_as_by_definition(spark, horizon):
+    rows = some_sessions(1)
+    got = {(r["session"], r["ord"]): (r["new_facts"], r["used_facts"]) for r in analytics.facts_used(spark.createDataFrame(rows, MESSAGE), horizon).collect()}
+    want = {k: (len(new), len(used)) for k, (new, used) in slowly(rows, horizon).items() if new}
+    assert got == want and any(u for _, u in want.values())
+
+
 def test_block_facts_as_by_definition(spark):
     rows = some_sessions(2)
     got = {(r["session"], r["ord"], r["block"]): (r["own_facts"], r["used_facts"]) for r in analytics.block_facts(spark.createDataFrame(rows, MESSAGE), 9).collect()}
@@ -71,6 +80,11 @@ def test_block_facts_of_equal_outputs_meet_in_no_join(spark):
     assert {(r["ord"], r["own"], r["used"]) for r in got} == {(i, 2000 if i == 0 else 0, 0) for i in range(400)}
 
 
+def test_facts_used_makes_no_row_for_each_fact(spark):
+    found = analytics.facts_used(spark.createDataFrame(some_sessions(3), MESSAGE))
+    assert "Generate" not in plan(found) and "Aggregate" not in plan(found)
+
+
 def test_facts_are_those_of_the_column_function(spark):
     texts = ["src/a.ts x.py TS2345 https://a.b 1234 node_modules/x my_var", "é_ü äbc_def x_yzab q/wer9", "a\tb_cdef\r\nERR_12345 fooBarBazzz WARN_X\n./x/y.z\n\n12345\n😀/abcd", "http://x.y/z " + "a_" * 70]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.facts(F.col("t")).alias("f"))

@@ -156,11 +156,12 @@ def changed_diffs(messages: DataFrame, contexts: tuple[int, ...] = (0, 3, 6)) ->
 def facts_used(messages: DataFrame, horizon: int = 80) -> DataFrame:
     """Per result: the facts that no earlier message of the session holds, and how many of them a later request, note or call used before another result gave them again.
 
-    Facts meet messages by equality of extracted facts within the session, an
-    equi join; a fact inside a longer one does not count.
+    Facts meet messages by equality of extracted facts within the session; a
+    fact inside a longer one does not count. Results without new facts are left out.
     """
-    own = _first_held(messages).filter("kind = 'result'")
-    return own.groupBy("session", "ord").agg(F.count(F.lit(1)).alias("new_facts"), F.count_if(_used_within(F.col("n"), horizon)).alias("used_facts"))
+    found = facts.uses(messages).filter(F.size("uses") > 0)
+    used = facts.counted("uses", lambda u: facts.used_within(u, F.col("n"), horizon))
+    return found.select("session", "ord", facts.counted("uses", lambda u: F.lit(True)).alias("new_facts"), used.alias("used_facts"))
 
 
 def _numbered(messages: DataFrame) -> DataFrame:
