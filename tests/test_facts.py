@@ -85,6 +85,11 @@ def test_facts_used_makes_no_row_for_each_fact(spark):
     assert "Generate" not in plan(found) and "Aggregate" not in plan(found)
 
 
+def test_sole_sources_makes_no_row_for_each_fact(spark):
+    found = analytics.sole_sources(spark.createDataFrame(some_sessions(3), MESSAGE))
+    assert "Generate" not in plan(found) and "Aggregate" not in plan(found)
+
+
 def test_facts_are_those_of_the_column_function(spark):
     texts = ["src/a.ts x.py TS2345 https://a.b 1234 node_modules/x my_var", "é_ü äbc_def x_yzab q/wer9", "a\tb_cdef\r\nERR_12345 fooBarBazzz WARN_X\n./x/y.z\n\n12345\n😀/abcd", "http://x.y/z " + "a_" * 70]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.facts(F.col("t")).alias("f"))

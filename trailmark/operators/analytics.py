@@ -164,22 +164,6 @@ def facts_used(messages: DataFrame, horizon: int = 80) -> DataFrame:
     return found.select("session", "ord", facts.counted("uses", lambda u: F.lit(True)).alias("new_facts"), used.alias("used_facts"))
 
 
-def _numbered(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy("ord")))
-
-
-def _first_held(messages: DataFrame) -> DataFrame:
-    """Each fact of a session where it is first held, and the next message that holds it: session, n, ord, kind, fact, next_n, next_kind."""
-    text = F.when(F.col("kind") == "call", F.coalesce("args", F.lit("{}"))).otherwise(F.coalesce("text", F.lit("")))
-    held = _numbered(messages).select("session", "n", "ord", "kind", F.explode(X.facts(text)).alias("fact"))
-    at = W.partitionBy("session", "fact").orderBy("n")
-    return held.withColumns({"first": F.row_number().over(at), "next_n": F.lead("n").over(at), "next_kind": F.lead("kind").over(at)}).filter("first = 1").drop("first")
-
-
-def _used_within(after: F.Column, horizon: int) -> F.Column:
-    return F.col("next_n").isNotNull() & (F.col("next_n") <= after + horizon) & (F.col("next_kind") != "result")
-
-
 def block_facts(messages: DataFrame, horizon: int = 80) -> DataFrame:
     """Per block of a command's output: the facts that neither another of its blocks nor an earlier message holds, and how many of them were used before another result gave them again."""
     found = facts.uses(messages, by_block=True).filter("blocks > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
@@ -190,18 +174,15 @@ def block_facts(messages: DataFrame, horizon: int = 80) -> DataFrame:
 
 def sole_sources(messages: DataFrame, horizon: int = 120, least: int = 150) -> DataFrame:
     """Per checkpoint and result before the request before it, of so many tokens: the facts no other message up to the checkpoint holds, and how many of them were used before another result gave them again."""
-    numbered = _numbered(messages)
     at = W.partitionBy("session").orderBy("n")
-    users = numbered.filter("kind = 'user'").select("session", "n", "ord").withColumns({"i": F.row_number().over(at) - 3, "previous": F.lag("n").over(at)}).filter("i >= 0")
+    users = facts.numbered(messages).filter("kind = 'user'").select("session", "n", "ord").withColumns({"i": F.row_number().over(at) - 3, "previous": F.lag("n").over(at)}).filter("i >= 0")
     step = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(W.partitionBy("session")) / 8))
     points = users.withColumn("step", step).filter("i % step = 0").select("session", F.col("ord").alias("checkpoint"), F.col("n").alias("c_n"), "previous")  # 8 a session at most
-    tok = X.tokens(F.coalesce("text", F.lit("")))
-    old = numbered.filter((F.col("kind") == "result") & (tok >= least)).select("session", "n", "ord", tok.alias("tokens")).join(points, "session").filter("n < previous")
+    met = facts.uses(messages).filter(F.col("tokens") >= least).join(points, "session").filter("n < previous")
     # the only holder is the first one, and the next one comes after the checkpoint
-    own = _first_held(messages).filter("kind = 'result'").select("session", "n", "next_n", "next_kind")
-    sole = F.col("first_n").isNotNull() & (F.col("next_n").isNull() | (F.col("next_n") > F.col("c_n")))
-    met = old.join(own.withColumn("first_n", F.col("n")), ["session", "n"], "left")
-    return met.groupBy("session", "checkpoint", "ord", "tokens").agg(F.count_if(sole).alias("sole_facts"), F.count_if(sole & _used_within(F.col("c_n"), horizon)).alias("used_facts"))
+    sole = lambda u: u["next_n"].isNull() | (u["next_n"] > F.col("c_n"))
+    used = facts.counted("uses", lambda u: sole(u) & facts.used_within(u, F.col("c_n"), horizon))
+    return met.select("session", "checkpoint", "ord", "tokens", facts.counted("uses", sole).alias("sole_facts"), used.alias("used_facts"))
 
 
 def future_text(messages: DataFrame, horizon: int = 80) -> DataFrame:
