@@ -126,13 +126,26 @@ def related_key(name: Column, args: Column) -> Column:
 
 
 def outcome_line(output: Column, is_error: Column) -> Column:
-    """The line that says what happened, and how many more there are."""
-    full = F.filter(pieces(output), lambda x: ~blank(x))
-    first = lambda p: trim(F.try_element_at(F.filter(full, lambda x: trim(x).rlike(java(p))), F.lit(1)))
-    pick = F.coalesce(F.when(is_error, first(NOTABLE)), first(OUTCOME), trim(F.try_element_at(full, F.lit(1))))
-    size = F.size(full)
-    more = F.when(size > 1, F.concat(F.lit(" (+"), (size - 1).cast("string"), F.lit(" lines)"))).otherwise("")
-    return F.when(size == 0, "(no output)").otherwise(F.concat(truncate(pick, 160), more))
+    """The line that says what happened, and how many more there are.
+
+    Patterns run over the text once, from the line's start to its first match,
+    without lines in between; none crosses a line's end, and the white space
+    that trimming takes is no part of a word.
+    """
+    line = lambda p: trim(F.nullif(F.regexp_extract(output, java(p), 0), F.lit("")))
+    at = lambda p: rf"(?md)^[^\n]*?(?:{p})[^\n]*"
+    full = rf"[^{WS[1:-1]}][^\n]*+"
+    # cheap tests first: what the pattern finds holds one of these
+    hinted = F.exists(F.array(F.lower(output)), lambda low: low.contains("passed") | low.contains("failed") | low.contains("test"))
+    told = F.when(hinted, line(at(rf"(?i)(?=[pft]){OUTCOME}")))
+    pick = F.coalesce(F.when(is_error, line(at(NOTABLE))), told, line(full))
+
+    def shown(x: Column) -> Column:
+        more = F.when(x["size"] > 1, F.concat(F.lit(" (+"), (x["size"] - 1).cast("string"), F.lit(" lines)"))).otherwise("")
+        return F.when(x["size"] == 0, "(no output)").otherwise(F.concat(truncate(x["line"], 160), more))
+
+    # an array of one, so that the line is looked for once
+    return F.get(F.transform(F.array(F.struct(pick.alias("line"), F.regexp_count(output, F.lit(full)).alias("size"))), shown), 0)
 
 
 def line_priority(line: Column) -> Column:
