@@ -48,10 +48,14 @@ def placed(messages: DataFrame) -> DataFrame:
 
 
 def tool_events(messages: DataFrame) -> DataFrame:
-    """Results with call arguments, epoch, token position and ordinal among the session's results."""
-    where = placed(messages).filter("kind = 'result'").select("session", "ord", "epoch", "upto")
-    seq = F.row_number().over(W.partitionBy("session").orderBy("ord")) - 1
-    return paired(messages).join(where, ["session", "ord"]).withColumn("seq", seq)
+    """Results with call arguments, epoch, token position and ordinal among the session's results.
+
+    Windows within the session one after the other: the texts are neither dealt
+    anew for a join nor made twice.
+    """
+    so_far = W.partitionBy("session").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    seq = F.count_if(F.col("kind") == "result").over(so_far).cast("int") - 1
+    return paired(placed(messages.filter("session is not null and ord is not null")).withColumn("seq", seq)).select(*messages.columns, "epoch", "upto", "seq")
 
 
 def idle_gaps(messages: DataFrame, cold_s: int = 300, observed_s: int = 60) -> DataFrame:

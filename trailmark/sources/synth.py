@@ -47,7 +47,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("PASS routine_case_"), j.cast("string"), F.lit(" completed with ordinary diagnostic padding")))
     )
     log = F.array_join(F.transform(F.sequence(F.lit(1), 160 + (F.col("k") % 5) * 30), log_line), "\n")
-    text = (
+    said = (
         F.when(F.col("event_type") == "signup", F.concat(F.lit("task "), F.col("event_id").cast("string"), F.lit(" for `f"), (F.col("k") % 3).cast("string"), F.lit("`")))
         .when(F.col("event_type") == "purchase", F.concat(F.lit("note "), F.col("event_id").cast("string")))
         .when(read, file)
@@ -58,25 +58,21 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("pos") * 4).cast("bigint").alias("ord"),
         F.when(F.col("event_type") == "signup", "user").when(result, "result").otherwise("text").alias("kind"),
         F.when(F.col("event_type") == "signup", "user").when(result, "toolResult").otherwise("assistant").alias("role"),
-        text.alias("text"),
     )
-    call = F.struct((F.col("pos") * 4 - 1).cast("bigint").alias("ord"), F.lit("call").alias("kind"), F.lit("assistant").alias("role"), F.lit("").alias("text"))
-    said = F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" of the plan"))
-    note = F.struct((F.col("pos") * 4 - 2).cast("bigint").alias("ord"), F.lit("text").alias("kind"), F.lit("assistant").alias("role"), said.alias("text"))
+    call = F.struct((F.col("pos") * 4 - 1).cast("bigint").alias("ord"), F.lit("call").alias("kind"), F.lit("assistant").alias("role"))
+    note = F.struct((F.col("pos") * 4 - 2).cast("bigint").alias("ord"), F.lit("text").alias("kind"), F.lit("assistant").alias("role"))
     spoken = F.col("event_id") % 5 == 0  # the call's message says something, too
-    out = e.select(
-        "session",
-        F.explode(F.when(result & spoken, F.array(note, call, row)).when(result, F.array(call, row)).otherwise(F.array(row))).alias("m"),
-        F.when(result, F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("call_id"),
-        F.when(read, "read").when(bash, "bash").alias("tool"),
-        args.alias("args"),
-        F.col("pos"),
-        (bash & (F.col("k") % 4 == 0)).alias("is_error"),
-        "ts",
+    # texts are made last, so that a query that filters messages, or reads no text, makes none for the rest
+    out = e.withColumn("m", F.explode(F.when(result & spoken, F.array(note, call, row)).when(result, F.array(call, row)).otherwise(F.array(row))))
+    step = F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" of the plan"))
+    text = F.when(F.col("m.kind") == "call", "").when(result & (F.col("m.kind") == "text"), step).otherwise(said)
+    called = lambda c: F.when(result & F.col("m.kind").isin("call", "result"), c)
+    msg = F.when((F.col("m.role") == "assistant") & result, F.col("pos") * 4 - 1).otherwise(F.col("m.ord")).cast("bigint")
+    return out.select(
+        "session", "m.ord", "m.kind", "m.role",
+        called(F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("call_id"), called(F.when(read, "read").when(bash, "bash")).alias("tool"), called(args).alias("args"),
+        text.alias("text"), (bash & (F.col("k") % 4 == 0) & (F.col("m.kind") == "result")).alias("is_error"), F.lit(True).alias("text_only"), "ts", msg.alias("msg"),
     )
-    called = lambda c: F.when(F.col("m.kind").isin("call", "result"), F.col(c)).alias(c)
-    msg = F.when((F.col("m.role") == "assistant") & F.col("tool").isNotNull(), F.col("pos") * 4 - 1).otherwise(F.col("m.ord")).cast("bigint")
-    return out.select("session", "m.ord", "m.kind", "m.role", called("call_id"), called("tool"), called("args"), "m.text", (F.col("is_error") & (F.col("m.kind") == "result")).alias("is_error"), F.lit(True).alias("text_only"), "ts", msg.alias("msg"))
 
 
 #: The same messages in DuckDB, as the common table expression ``messages``.
